@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -40,7 +42,7 @@ class WordBpe:
     a table of at most ``keep`` chunks, which starts anew when full.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
@@ -143,15 +145,13 @@ class WordBpe:
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Put the tokens of all ``chunks`` into the table: bytes of ids in ``dtype``.
+        """Put the tokens of ``chunks``, which are new to the table, into it: bytes of ids in ``dtype``.
 
         All chunks of a kind are split by one search over their lines; a mark that is no id stands for each line's end.
         """
-        new = [c for c in chunks if c not in self.ids]
+        new = list(chunks)
         if len(self.ids) + len(new) > self.keep:
-            self.ids, new = {}, list(chunks)
-        if not new:
-            return
+            self.ids = {}
         plain, wide, odd = [], [], []
         for c in new:
             if self.mark is not None and self.mark in c:
@@ -184,25 +184,39 @@ class WordBpe:
             self.ids[c] = b"".join(known[p] if type(p) is bytes else np.array([p], self.dtype).tobytes() for p in ps)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as bytes in ``dtype``."""
-        split = [t.split() for t in texts]
-        out, at = [], 0
-        while at < len(split):  # as many texts at a time as surely fit into the table
-            size, end = 0, at
-            while end < len(split) and (end == at or size + len(split[end]) <= self.keep // 2):
-                size += len(split[end])
-                end += 1
-            chunks = set().union(*split[at:end])
-            self.learn(chunks)
-            get = self.ids.__getitem__
-            out += [b"".join(map(get, s)) for s in split[at:end]]
-            at = end
-        return out
+        """Ids of each text, as bytes in ``dtype``. The texts are split and looked up as one list, in which a byte that no
+        UTF-8 text has stands between two texts."""
+        if not texts:
+            return []
+        clean = [t if b"\xff" not in t else t.decode("utf-8", "replace").encode() for t in texts]
+        words = b" \xff ".join(clean).split()
+        end = np.array([np.iinfo(self.dtype).max], self.dtype)
+        self.ids[b"\xff"] = end.tobytes()
+        ids = list(map(self.ids.get, words))
+        unknown = [k for k, x in enumerate(ids) if x is None]
+        if unknown:
+            self.learn({words[k] for k in unknown})
+            for k in unknown:
+                ids[k] = self.ids[words[k]]
+        raw = b"".join(ids)
+        ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == end[0]) * self.dtype.itemsize
+        return [raw[a:b] for a, b in zip([0, *(ends + self.dtype.itemsize).tolist()], [*ends.tolist(), len(raw)])]
 
     def lengths(self, texts: list[bytes]) -> list[int]:
         return [len(x) // self.dtype.itemsize for x in self.encode(texts)]
 
 
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a (doc_id, text) batch of about ``most`` bytes each, with their texts; null texts are empty."""
+    texts = [t or b"" for t in batch.column(1).to_pylist()]
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most or k + 1 == len(texts):
+            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
+            at, size = k + 1, 0
+
+
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """One instance for each Python worker and vocabulary."""

@@ -20,20 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import public_path, word_bpe
+from .bpe import by_bytes, public_path, word_bpe
 from .common import id_and_bytes, staged
 
 STREAM = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_to bigint"
 
 
-def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     bpe, part, before = word_bpe(path), TaskContext.get().partitionId(), 0
     end = np.array([end_id], bpe.dtype).tobytes()
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            ids = [x + end for x in bpe.encode([t or b"" for t in batch.column(1).to_pylist()])]
+        for batch, texts in by_bytes(whole):
+            ids = [x + end for x in bpe.encode(texts)]
             n = np.array([len(x) // bpe.dtype.itemsize for x in ids], np.int64)
             ends = before + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(

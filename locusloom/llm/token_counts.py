@@ -11,18 +11,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import public_path, word_bpe
+from .bpe import by_bytes, public_path, word_bpe
 from .common import id_and_bytes
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     bpe = word_bpe(path)
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
+        for batch, texts in by_bytes(whole):
             n = bpe.lengths(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
