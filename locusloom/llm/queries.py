@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import packing, rules, sharding
 from .common import read_table
+from .ngram_join import similar_components
 from .token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(read_table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), limit=2048)
 
@@ -66,5 +71,31 @@ FROM b
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS r FROM w
+  UNION
+  SELECT links.b AS a, reach.r FROM reach JOIN links ON links.a = reach.a WHERE reach.r < links.b
+), low AS (
+  SELECT a, min(r) AS r FROM reach GROUP BY a
+)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, low.r AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN low ON low.a = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op9_ngram_jaccard_join": OP9_SQL}
