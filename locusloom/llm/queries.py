@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontam, packing, rules, sharding
+from . import class_lm, decontam, packing, quality, rules, sharding
 from .common import read_table
 from .ngram_join import similar_components
 from .token_counts import token_counts
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = class_lm.fold_of(F.col("doc_id")) != 0
+    scored = quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), learned)
+    return scored.select("doc_id", (~learned).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=13)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
