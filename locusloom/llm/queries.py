@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontam, packing, quality, rules, sharding
+from . import class_lm, decontam, packing, pii, quality, rules, secret_scan, sharding
 from .common import read_table
 from .ngram_join import similar_components
 from .token_counts import token_counts
@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.MEASURES[:5], (~F.col("base_kept")).alias("base_failed"), (F.col("base_kept") & F.col("kept")).alias("kept"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is for show; a caller's is a secret of its own."""
+    done = pii.pseudonymized(read_table(spark, sf_dir, "documents"), key=b"locusloom-demonstration-key")
+    return done.select("doc_id", "text", F.size("finds").cast("long").alias("n_finds"), F.concat_ws(",", F.array_distinct("finds.kind")).alias("kinds"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,6 +54,11 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secret_scan.scanned(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_candidates", F.size("finds").cast("long").alias("n_secrets"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read_table(spark, sf_dir, "documents"), k=5, percent=75)
 
