@@ -10,11 +10,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -206,17 +204,6 @@ class WordBpe:
         return [len(x) // self.dtype.itemsize for x in self.encode(texts)]
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a (doc_id, text) batch of about ``most`` bytes each, with their texts; null texts are empty."""
-    texts = [t or b"" for t in batch.column(1).to_pylist()]
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most or k + 1 == len(texts):
-            yield batch.slice(at, k + 1 - at), texts[at : k + 1]
-            at, size = k + 1, 0
-
-
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """One instance for each Python worker and vocabulary."""

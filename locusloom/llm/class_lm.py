@@ -25,8 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import by_bytes
-from .common import id_and_bytes, staged
+from .common import by_bytes, id_and_bytes, staged
 
 HEAD = 200_000
 CLUSTERED = 768

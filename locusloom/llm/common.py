@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,14 @@ def small_enough(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> b
     """Whether the measured bytes of a side table allow a broadcast. Runs one aggregate over it."""
     total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
     return total <= limit
+
+
+def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a (doc_id, text) batch of about ``most`` bytes of text each, with their texts; null texts are empty."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
+        part = batch.slice(at, min(end, batch.num_rows) - at)
+        yield part, [t or b"" for t in part.column(1).to_pylist()]
+        at += part.num_rows

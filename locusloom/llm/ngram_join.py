@@ -7,7 +7,8 @@
    size form a group; only a group's prefix goes into the join on shingles, and what has no partner there is dropped.
 4. Groups that meet are expanded to their vertices. In a bucket (the vertices that share a prefix shingle) of at most ``BUCKET``
    vertices all pairs that pass the size, position and overlap bounds are candidates. In a larger bucket each vertex first meets a
-   few partners; once these are verified, only pairs of vertices in different components remain, and all of them are verified.
+   few partners, then those outside its largest component a few more; once these are verified, only pairs of vertices in
+   different components remain, and all of them are verified.
    So no link between components is lost, and a large group of near copies costs no square of its size.
 5. Candidates are verified on their whole sets.
 
@@ -26,13 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import by_bytes
-from .common import BROADCAST_BYTES, id_and_bytes, staged
+from .common import BROADCAST_BYTES, by_bytes, id_and_bytes, staged
 from .components import components
 from .shingles import set_key, shingle_sets
 
 #: Shingles that are listed as common, at most; the list only orders them.
-COMMON = 200_000
+COMMON = 400_000
 #: Vertices of a bucket up to which all its pairs are formed at once.
 BUCKET = 40
 SETS = "rid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, gkey bigint, prefix array<bigint>"
@@ -42,14 +42,18 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def common_batches(batches: Iterator[pa.RecordBatch], k: int, least: int = 4, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def common_batches(batches: Iterator[pa.RecordBatch], k: int, least: int = 2, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Shingles that occur in ``least`` or more different sets of the few thousand documents at hand, with their counts."""
     held, seen, size = [], set(), 0
 
     def counted() -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts >= least
-        return pa.RecordBatch.from_arrays([pa.array(signed(values[many])), pa.array(counts[many].astype(np.int64))], ["token", "n"])
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(1, bool), values[1:] != values[:-1])))
+        counts = np.diff(np.append(first, len(values)))
+        first, counts = first[counts >= least], counts[counts >= least]
+        return pa.RecordBatch.from_arrays([pa.array(signed(values[first])), pa.array(counts)], ["token", "n"])
 
     for whole in batches:
         for _, texts in by_bytes(whole):
@@ -60,7 +64,7 @@ def common_batches(batches: Iterator[pa.RecordBatch], k: int, least: int = 4, mo
                     size += len(x)
             if size >= most:
                 yield counted()
-                held, seen, size = [], set(), 0
+                seen, size = set(), 0
     if held:
         yield counted()
 
@@ -176,9 +180,25 @@ class Join:
     def first_pairs(self) -> DataFrame:
         """A few partners for each vertex of a large bucket: in four orders the three before it, and the first of all."""
         order = Window.partitionBy("token").orderBy(F.xxhash64("vid", F.pmod("token", F.lit(4))), "vid")
-        partners = [F.lag("vid", i).over(order) for i in (1, 2, 3)] + [F.first("vid").over(order)]
-        rows = self.postings.where("many").select("vid", F.array_distinct(F.array(*partners)).alias("others")).select("vid", F.explode("others").alias("other"))
-        return rows.where("other is not null and other <> vid").select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
+        own = F.struct("vid", "n", "pos")
+        partners = [F.lag(own, i).over(order) for i in (1, 2, 3)] + [F.first(own).over(order)]
+        rows = self.postings.where("many").select("vid", "n", "pos", F.array_compact(F.array(*partners)).alias("others"))
+        met = rows.select("vid", "n", "pos", F.explode("others").alias("o")).select("vid", "n", "pos", "o.*").toDF("vida", "na", "posa", "vidb", "nb", "posb")
+        met = met.where((F.col("vida") != F.col("vidb")) & fits(self.percent, "na", "nb", "posa", "posb"))
+        return met.select(F.least("vida", "vidb").alias("a"), F.greatest("vida", "vidb").alias("b")).distinct()
+
+    def far_pairs(self, roots: DataFrame) -> DataFrame:
+        """More partners, in sixteen orders, for those vertices of a large bucket that aren't in its largest component."""
+        by = Window.partitionBy("token")
+        rows = self.postings.where("many").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+        rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("token", "root"))).withColumn("m", F.max("c").over(by))
+        order = by.orderBy(F.xxhash64("vid", F.pmod("token", F.lit(16)), F.lit("far")), "vid")
+        own = F.struct("vid", "n", "root")
+        near = F.array_compact(F.array(*(F.lag(own, i).over(order) for i in (-4, -3, -2, -1, 1, 2, 3, 4))))
+        rows = rows.select("vid", "n", "root", (F.col("c") < F.col("m")).alias("far"), near.alias("others")).where("far")
+        met = rows.select("vid", "n", "root", F.explode("others").alias("o")).select("vid", "n", "root", "o.*").toDF("vida", "na", "roota", "vidb", "nb", "rootb")
+        met = met.where(f"roota <> rootb and 100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        return met.select(F.least("vida", "vidb").alias("a"), F.greatest("vida", "vidb").alias("b")).distinct()
 
     def rest_pairs(self, roots: DataFrame) -> DataFrame:
         """All pairs of the large buckets whose vertices are in different components, and that may reach the threshold."""
@@ -205,14 +225,17 @@ class Join:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that connect every component (not all links inside one), and (vid, root)."""
-        first = staged(self.close_pairs().union(self.first_pairs()).distinct(), "pairs")
-        links = staged(self.verified(first), "links")
+        done = staged(self.close_pairs().union(self.first_pairs()).distinct(), "pairs")
+        links = staged(self.verified(done), "links")
         roots = components(links)
-        if not self.postings.where("many").isEmpty():
-            rest = staged(self.rest_pairs(roots).join(first, ["a", "b"], "left_anti"), "rest")
+        if self.postings.where("many").isEmpty():
+            return links, roots
+        for pairs in (self.far_pairs, self.rest_pairs):
+            rest = staged(pairs(roots).join(done, ["a", "b"], "left_anti"), "rest")
             if not rest.isEmpty():
                 links = staged(links.union(self.verified(rest)), "links")
                 roots = components(links)
+                done = done.union(rest)
         return links, roots
 
 

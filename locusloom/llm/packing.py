@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import by_bytes, public_path, word_bpe
-from .common import id_and_bytes, staged
+from .bpe import public_path, word_bpe
+from .common import by_bytes, id_and_bytes, staged
 
 STREAM = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_to bigint"

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import by_bytes, public_path, word_bpe
-from .common import id_and_bytes
+from .bpe import public_path, word_bpe
+from .common import by_bytes, id_and_bytes
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
