@@ -224,7 +224,7 @@ def lifted(reads: DataFrame, parts: DataFrame) -> DataFrame:
     """``rebuilt`` rows with genomic blocks of both records: each bucket interval laid over the subexons of its path."""
     order = Window.partitionBy("_id", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     ids = reads.withColumn("_id", F.concat_ws("/", "chrom", "bundle_id", F.to_json("path"), F.coalesce("strand", F.lit(".")), "nh", "kind", "n"))
-    sides = ids.select("*", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("s").alias("low"), F.col("e").alias("high")), F.struct(F.lit("b"), F.col("s_b"), F.col("e_b"))))).where("low is not null")
+    sides = ids.select("*", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("s").alias("low"), F.col("e").alias("high")), F.struct(F.lit("b").alias("side"), F.col("s_b").alias("low"), F.col("e_b").alias("high"))))).where("low is not null")
     spots = sides.select("_id", "side", "low", "high", "chrom", "bundle_id", F.posexplode("path").alias("k", "subexon_id")).join(parts.withColumnsRenamed({"s": "ps", "e": "pe"}), ["chrom", "bundle_id", "subexon_id"])
     placed = spots.withColumn("off", F.coalesce(F.sum(F.col("pe") - F.col("ps")).over(order), F.lit(0)))
     cut = placed.where("low < off + pe - ps and high > off").select("_id", "side", "k", (F.col("ps") + F.greatest("low", "off") - F.col("off")).alias("s"), (F.col("ps") + F.least(F.col("high"), F.col("off") + F.col("pe") - F.col("ps")) - F.col("off")).alias("e"))
