@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from .common import RELEASE
 
 #: From this character on, letters differ between Unicode versions, so the library's own splitter cuts such chunks.
 NEWER_LEAD = "\u0500".encode()[0]
@@ -40,12 +40,12 @@ class WordBpe:
     a table of at most ``keep`` chunks, which starts anew when full.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         letters = byte_letters()
-        self.library, self.byte_of = Tokenizer.from_file(path), {x: b for b, x in enumerate(letters)}
+        self.path, self.byte_of = path, {x: b for b, x in enumerate(letters)}
         self.mid = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -131,6 +131,13 @@ class WordBpe:
         order = np.argsort(row, kind="stable")
         return sym[order], np.bincount(row, minlength=len(seqs))
 
+    @cached_property
+    def library(self):
+        """The library's own splitter, loaded when a chunk first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def odd(self, chunk: bytes) -> list:
         """Pre-tokens, as bytes, of a chunk with special tokens (as ids) or newer letters."""
         out = []
@@ -210,6 +217,9 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+RELEASE.append(word_bpe.cache_clear)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_and_bytes, staged
+from .common import by_bytes, id_and_bytes, staged, worker_of
 
 HEAD = 200_000
 CLUSTERED = 768
@@ -52,6 +52,7 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    worker_of("class model")
     counts: Counter = Counter()
 
     def out() -> pa.RecordBatch:
@@ -91,6 +92,7 @@ def coded(texts: list[bytes]) -> list[bytes]:
 
 def bigram_batches(batches: Iterator[pa.RecordBatch], head: list[bytes], clustered: int) -> Iterator[pa.RecordBatch]:
     """Counts of adjacent groups: the clustered words each, and the shapes of head and of tail. The end also stands before a text."""
+    worker_of("class model")
     place, width = Places(head), clustered + 2 * SHAPES
     shapes = np.array([shape(w) if w != END else 0 for w in head] + [0], np.int64)
     total = np.zeros(width * width, np.int64)
@@ -192,6 +194,7 @@ class Model:
 
 def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """A row for each document with what the head alone gives, and its tail words with their numbers."""
+    worker_of("class model")
     place, rid = Places(model.head), TaskContext.get().partitionId() << 40
     for whole in batches:
         for batch, texts in by_bytes(whole):

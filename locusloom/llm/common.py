@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_bytes(docs: DataFrame) -> DataFrame:
     """doc_id and the UTF-8 bytes of the text, for Arrow operators; other columns are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts make Spark's default of 10000 rows an Arrow batch of tens of MB, held by JVM and Python; a session that hasn't
+    chosen otherwise gets smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body's lambdas refer to it."""
     return F.transform(F.array(value), body)[0]
@@ -62,3 +74,20 @@ def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.Re
         part = batch.slice(at, min(end, batch.num_rows) - at)
         yield part, [t or b"" for t in part.column(1).to_pylist()]
         at += part.num_rows
+
+
+#: In a Python worker: what its last task belonged to, and how to empty the tables that operators keep between tasks.
+_OWNER = [""]
+RELEASE: list[Callable[[], None]] = []
+
+
+def worker_of(owner: str) -> None:
+    """Called first in a task. Spark reuses workers, so a task of another operator first empties what the one before kept, and
+    every task gives freed memory back to the system."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for f in RELEASE:
+            f()
+        gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

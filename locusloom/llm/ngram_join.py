@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_bytes, id_and_bytes, staged
+from .common import BROADCAST_BYTES, by_bytes, id_and_bytes, staged, worker_of
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -44,16 +44,18 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def common_batches(batches: Iterator[pa.RecordBatch], k: int, least: int = 2, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Shingles that occur in ``least`` or more different sets of the few thousand documents at hand, with their counts."""
+    worker_of("shingles")
     held, seen, size = [], set(), 0
 
     def counted() -> pa.RecordBatch:
         values = np.concatenate(held)
         held.clear()
         values.sort()
-        first = np.flatnonzero(np.concatenate((np.ones(1, bool), values[1:] != values[:-1])))
-        counts = np.diff(np.append(first, len(values)))
-        first, counts = first[counts >= least], counts[counts >= least]
-        return pa.RecordBatch.from_arrays([pa.array(signed(values[first])), pa.array(counts)], ["token", "n"])
+        again = np.flatnonzero(values[1:] == values[:-1])  # a run of n equal values has n - 1 of these, side by side
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(again)), bool), again[1:] != again[:-1] + 1)))
+        counts = np.diff(np.append(first, len(again))) + 1
+        many = counts >= least
+        return pa.RecordBatch.from_arrays([pa.array(signed(values[again[first[many]]])), pa.array(counts[many].astype(np.int64))], ["token", "n"])
 
     for whole in batches:
         for _, texts in by_bytes(whole):
@@ -86,6 +88,7 @@ def prefix_of(x: np.ndarray, common: np.ndarray, place: np.ndarray, percent: int
 
 def set_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, common: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each document. A group's prefix goes out once from each task (anew after many groups)."""
+    worker_of("shingles")
     rid, seen = TaskContext.get().partitionId() << 40, set()
     for whole in batches:
         for batch, texts in by_bytes(whole):
@@ -110,6 +113,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], k: int, percent: int, common:
 
 def whole_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(vid, s1, s2, text) -> (vid, set), where the text's set is the vertex's; once from each task."""
+    worker_of("shingles")
     seen = set()
     for whole in batches:
         vid, s1, s2 = (whole.column(c).to_pylist() for c in range(3))

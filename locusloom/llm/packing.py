@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import public_path, word_bpe
-from .common import by_bytes, id_and_bytes, staged
+from .common import by_bytes, id_and_bytes, staged, worker_of
 
 STREAM = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_to bigint"
 
 
 def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    worker_of("bpe")
     bpe, part, before = word_bpe(path), TaskContext.get().partitionId(), 0
     end = np.array([end_id], bpe.dtype).tobytes()
     for whole in batches:
@@ -43,6 +44,7 @@ def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int)
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch], bases: dict[int, int], total: int, window: int, dtype: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    worker_of("packing")
     last = (total - 1) // window if total else 0
     rest = total - last * window
     rest = rest if rest & (rest - 1) == 0 else window  # a power of two stays as it is

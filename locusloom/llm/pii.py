@@ -23,7 +23,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_bytes
+from .common import RELEASE, id_and_bytes, worker_of
 
 ROUNDS = 8
 L, R = rb"(?<![0-9A-Za-z_\x80-\xff])", rb"(?![0-9A-Za-z_\x80-\xff])"
@@ -193,6 +193,9 @@ def shifted(kind: str, value: bytes, key: bytes, back: bool = False) -> bytes |
     return None if new is None else new.encode()
 
 
+RELEASE.append(shifted.cache_clear)
+
+
 def finds(text: bytes, key: bytes, back: bool = False) -> list[tuple[int, int, str, bytes]]:
     """(start, end, kind, pseudonym) of every valid value, by place, without overlaps."""
     out: list[tuple[int, int, str, bytes]] = []
@@ -228,6 +231,7 @@ FIND = "array<struct<kind string, start bigint, end bigint>>"
 
 
 def pseudonym_batches(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterator[pa.RecordBatch]:
+    worker_of("pii")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         texts = batch.column(1).to_pylist()

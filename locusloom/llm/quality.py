@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_and_bytes, staged
+from .common import by_bytes, id_and_bytes, staged, worker_of
 
 FEATURES = 256
 BINS = 1000
@@ -71,6 +71,7 @@ def statistics_of(text: bytes) -> list[float]:
 
 
 def statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_of("quality")
     for whole in batches:
         for batch, texts in by_bytes(whole):
             x = np.array([statistics_of(t) for t in texts], np.float32)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, worker_of
 from .forest import Forest
 
 NAMES = rb"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?"
@@ -185,6 +186,7 @@ SCAN = "doc_id bigint, text string, n_candidates bigint, finds array<struct<kind
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch], forest: Forest, least: float, mask: bytes) -> Iterator[pa.RecordBatch]:
+    worker_of("secrets")
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -215,6 +217,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], forest: Forest, least: float
 def scanned(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mask: bytes = b"[SECRET]", keep: list[str] = ()) -> DataFrame:
     """doc_id, text with its secrets masked, the number of candidates, the finds (bytes of the text as it was), and ``keep``."""
     forest = forest or default_forest()
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)
     schema = ", ".join([SCAN, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])])
     return rows.mapInArrow(lambda it: scan_batches(it, forest, least, mask), schema)

@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import public_path, word_bpe
-from .common import by_bytes, id_and_bytes
+from .common import by_bytes, id_and_bytes, worker_of
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
+    worker_of("bpe")
     bpe = word_bpe(path)
     for whole in batches:
         for batch, texts in by_bytes(whole):

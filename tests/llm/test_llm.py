@@ -1,0 +1,331 @@
+"""The operators against brute-force versions on small tables with nulls, empty and long texts, repeated rows and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from locusloom.llm import class_lm, components, decontam, ngram_join, packing, pii, quality, rules, secret_scan, sharding, token_counts
+from locusloom.llm.bpe import public_path, word_bpe
+from locusloom.llm.forest import Forest
+from locusloom.llm.shingles import shingle_sets
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, s1 string, part string"
+
+
+def corpus(n=160, seed=0):
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Été", "naïve", "THE", "x.", "日本語"]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(1, 90))) for _ in range(n)]
+    for i in range(0, n, 5):  # exact and near copies, in chains
+        words = texts[i].split()
+        for k in range(1, 4):
+            if words:
+                words = [*words]
+                words[draw.randrange(len(words))] = draw.choice(vocabulary)
+            texts[i + k] = " ".join(words) if k > 1 else texts[i]
+    texts += [None, "", " \n\t ", "one", "a b c", "a b c", "A b  C", "word " * 3000, "line one here\nline one here\n\nline two\r\n", "<|endoftext|> it's ÀÉ ﬁ ｆｕｌｌ 12³ 🎉 " + "z" * 500]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "s", 0, "clash", "clash", "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def test_token_counts_and_packing_equal_the_library(docs, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, limit=50).collect()}
+    assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in got.items()} == {i: (len((t or "").encode()), len(w), len(w) > 50) for i, (t, w) in enumerate(zip(texts, want))}
+    pieces = packing.pack(docs, window=64).collect()
+    whole, places = defaultdict(dict), defaultdict(list)
+    for r in pieces:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        whole[r["doc_id"]][r["start"]] = ids.tolist()
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, w in enumerate(want):
+        assert sum((whole[i][k] for k in sorted(whole[i])), []) == [*w, 2]
+    for k, spans in places.items():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at == 64 or (k == max(places) and at < 64)
+    assert sorted(places) == list(range(len(places)))
+
+
+def test_bpe_cache_and_batches():
+    bpe = word_bpe(public_path("word_bpe_49k.json"))
+    small = type(bpe)(public_path("word_bpe_49k.json"), keep=7)
+    texts = [t.encode() for t in corpus(40) if t]
+    assert [small.encode([t])[0] for t in texts] == bpe.encode(texts)
+
+
+def test_rules_against_brute_force(docs, texts):
+    book = rules.ledger(docs)
+    for r in rules.apply_policy(book, "base-1").collect():
+        text = texts[r["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        seen = defaultdict(list)
+        for i in range(len(w) - 7):
+            seen[tuple(w[i : i + 8])].append(i)
+        repeated = len({k for at in seen.values() if len(at) > 1 for i in at for k in range(i, i + 8)})
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated)
+        assert tuple(r[m] for m in rules.MEASURES[:5]) == want
+        assert r["kept"] == (len(w) >= 20 and 100 * repeated <= 30 * len(w))
+    masks = [r["failures"] for r in book.select("failures").collect()]
+    whole = rules.policy_mask("strict-1")
+    for r in rules.ablations(book, "strict-1").collect():
+        bit = 1 << rules.BITS[r["rule"]]
+        assert (r["fails"], r["alone"], r["kept_without"]) == (sum(m & bit > 0 for m in masks), sum(m & whole == bit for m in masks), sum(m & whole & ~bit == 0 for m in masks))
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_sharding_bounds(docs, texts, slack):
+    rows = sharding.shard(docs, shards=7, slack=slack).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(range(len(texts)))
+    by = defaultdict(list)
+    for r in rows:
+        assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode())
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    loads = [len(by[s]) for s in range(7)]
+    assert max(loads) - min(loads) <= 1 if not slack else max(loads) <= len(texts) * 1.2 / 7 + 1
+
+
+def test_sharding_is_the_ring(docs, texts):
+    """Every row is in its home shard or, from there clockwise, in one before which all shards are full."""
+    cells, shards = sharding.CELLS, 7
+    owner = sharding.nodes(shards, 64, cells)
+    rows = sharding.shard(docs, shards=shards).join(docs.select("doc_id", sharding.cell_of(F.col("doc_id"), cells).alias("cell")), "doc_id").collect()
+    load = Counter(r["shard"] for r in rows)
+    caps = dict(enumerate(sharding.bounds([sum(owner[r["cell"]] == s for r in rows) for s in range(shards)], 0.0)))
+    for r in rows:
+        step = r["cell"]
+        while owner[step % cells] != r["shard"]:
+            assert load[owner[step % cells]] == caps[owner[step % cells]]
+            step += 1
+
+
+def test_sharding_movement(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    r = sharding.moved(docs, 8, 9, slack=0.25).first()
+    assert r["rows"] == 4000 and r["moved"] < 4000 * 0.3
+
+
+def test_class_model(docs, texts):
+    training = class_lm.fold_of(F.col("doc_id")) != 1
+    counts = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update([*words_of(t), b"\n"])
+    n, v = sum(counts.values()), len(counts)
+    for head in (40, 10_000):
+        rows = class_lm.class_scores(docs, training, clustered=30, classes=6, head_size=head).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            tokens = [*words_of(texts[r["doc_id"]]), b"\n"]
+            base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(w in counts for w in tokens), n)
+            assert abs(base - r["base_score"]) < 1e-6 * max(1, abs(base)) and r["score"] < 0
+
+
+def test_class_model_sums_to_one():
+    draw = random.Random(1)
+    head = [f"w{i}".encode() for i in range(30)] + [b"\n"]
+    own = np.array([draw.randint(1, 50) for _ in head])
+    width = 20 + 2 * class_lm.SHAPES
+    pairs = np.array([[draw.randint(0, 9) for _ in range(width)] for _ in range(width)])
+    model = class_lm.Model(head, own, pairs, 20, 5, int(own.sum()) + 9, len(head) + 3, {3: (9, 3)})
+    assert np.allclose((10**model.step).sum(1), 1)
+    cls = model.of[class_lm.group_of(np.arange(len(head)), model.shapes, 20)]
+    for c in set(cls.tolist()):
+        assert abs((10 ** model.emit[: len(head)][cls == c]).sum() - 1) < 1e-9
+    assert abs((9 + 3 * 0.5 + 0.5) / model.tail_under[3] - 1) < 1e-12
+
+
+def test_exchange_finds_alternating_classes():
+    pairs = np.zeros((8, 8), int)
+    for a in range(8):
+        for b in range(8):
+            pairs[a, b] = 50 if a % 2 != b % 2 else 1
+    of = class_lm.exchange(np.pad(pairs, (0, 2)).astype(float), 8, 2)
+    assert len(set(of[[0, 2, 4, 6]])) == 1 and len(set(of[[1, 3, 5, 7]])) == 1 and of[0] != of[1]
+
+
+def shingles(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def linked(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [(len(sets[i]), find(i)) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("bucket", [40, 3])
+def test_join_against_all_pairs(docs, texts, bucket, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
+def test_join_repeated_rows_and_null_ids(spark):
+    t = "one two three four five six seven"
+    rows = [(7, t), (7, t), (None, t), (3, "other words are in here now"), (3, t + " eight"), (None, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(7, 3, 3), (7, 3, 3), (None, 3, 3), (3, 2, 3), (3, 4, 3), (None, 0, None)], key=str)
+
+
+def test_shingle_hashes_follow_words():
+    texts = [b"a b c d e f", b"A  b\tc d e\nf", b"", b"a b", b"a b c d e", b"b c d e f"]
+    sets = shingle_sets(texts)
+    assert [len(s) for s in sets] == [2, 2, 0, 1, 1, 1]
+    assert sets[0].tolist() == sets[1].tolist() and set(sets[0].tolist()) == {sets[4][0], sets[5][0]}
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    got = {r["vid"]: r["root"] for r in components.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_decontamination_against_brute_force(spark, docs, texts):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    parts = [t for t in texts if t and len(t.split()) > 20]
+    items = [(1, " ".join(parts[0].split()[3:30])), (2, "a b c"), (3, None), (4, "..."), (5, " ".join(parts[9].split()[:14]) + " zz"), (1, "one"), (None, " ".join(parts[3].split()[:16])), (6, parts[0].upper())]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, table).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w, hit, names = word.findall(lower(t)), set(), set()
+        for item, x in items:
+            iw = word.findall(lower(x))
+            k = min(13, len(iw))
+            for s in range(len(iw) - k + 1 if k else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == iw[s : s + k]:
+                        hit |= set(range(p, p + k))
+                        names |= {str(item)} if item is not None else set()
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items"]) == (len(w), len(hit), len(names), sorted(names)), t
+    search = decontam.Search(docs, spark.createDataFrame([(1, "line two one here")], "item_id bigint, text string"), terms=4)
+    assert {r["doc_id"] for r in search.proximity(8).collect()} == {len(texts) - 2}
+
+
+def test_quality_learns(spark):
+    draw = random.Random(3)
+    good = lambda: " ".join(draw.choice(["the", "river", "was", "long", "and", "quiet"]) for _ in range(40)) + "."
+    bad = lambda: " ".join(draw.choice(["BUY", "NOW!!", "$$$", "###"]) for _ in range(40))
+    rows = [(i, (good if i % 2 else bad)(), i % 2) for i in range(400)] + [(400, None, None), (401, "", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    training = class_lm.fold_of(F.col("doc_id")) != 0
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels, training, features=64).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == 402 and all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] >= 0.3) == bool(i % 2) for i in held]) > 0.97
+    assert set(r["score"] for r in quality.quality_scores(docs, labels.limit(0), training, features=16).collect()) == {0.5}
+
+
+def test_isotonic_is_monotone():
+    fit = quality.Isotonic([(0, 10, 5), (100, 10, 1), (300, 10, 4), (600, 10, 9), (800, 10, 7)])
+    x = np.linspace(-0.5, 1.5, 300)
+    assert (np.diff(fit(x)) >= 0).all()
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    key = b"k"
+    samples = ["call +1 (269) 555-3296 now", "4111 1111 1111 1111 or 4111-1111-1111-1111", "x.y_1@mail.example.com", "10.0.0.1", "123-45-6789", "2021-02-28", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    for s in samples:
+        found = pii.finds(s.encode(), key)
+        new = pii.replaced(s.encode(), found)
+        assert found and new != s.encode() and pii.replaced(new, pii.finds(new, key, True)) == s.encode()
+        assert re.sub(r"[0-9A-Za-z]", "0", s) == re.sub(r"[0-9A-Za-z]", "0", new.decode()) or "10.0" in s
+    a, b = re.findall(r"[0-9]{4}(?:[ -][0-9]{4}){3}", pii.replaced(samples[1].encode(), pii.finds(samples[1].encode(), key)).decode())
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and pii.luhn_digit(re.sub(r"\D", "", a)[:-1]) == a[-1]
+    for clean in ("4111 1111 1111 1112", "version 1.2.3.4.5", "2021-02-30", "666-45-6789", "300.1.1.1", "pages 10-20"):
+        assert pii.finds(clean.encode(), key) == []
+    assert sorted(pii.permute(i, 77, key, "t") for i in range(77)) == list(range(77))
+    docs = spark.createDataFrame([(1, samples[0]), (2, samples[0] + " é"), (None, None), (4, "")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymized(docs, key).collect()}
+    assert got[1]["text"] + " é" == got[2]["text"] and got[None]["text"] is None and got[4]["text"] == "" and len(got[1]["finds"]) == 1
+
+
+def test_secrets(spark):
+    held = secret_scan.example_findings(20, seed=77)
+    forest = secret_scan.default_forest()
+    x, y = np.array([secret_scan.features_of(*e[:4]) for e in held]), np.array([e[4] for e in held])
+    assert ((forest(x) >= 0.5) == y).mean() > 0.95
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'see token = "{secret}" é', "a"), (2, f"commit {secret} fixed it", "b"), (3, None, None), (4, "", "d"), (5, "password: correct_horse_battery", "e")]
+    got = {r["doc_id"]: r for r in secret_scan.scanned(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), keep=["lang"]).collect()}
+    assert got[1]["text"] == 'see token = "[SECRET]" é' and got[1]["finds"][0]["start"] == 13
+    assert got[2]["text"] == rows[1][1] and got[2]["n_candidates"] == 1 and got[3]["text"] is None and got[4]["n_candidates"] == 0 and got[5]["text"] == rows[4][1]
+    assert [got[i]["lang"] for i in (1, 2, 4)] == ["a", "b", "d"]
+
+
+def test_forest_splits():
+    draw = np.random.default_rng(0)
+    x = draw.uniform(size=(400, 4))
+    y = ((x[:, 1] > 0.5) ^ (x[:, 2] > 0.3)).astype(int)
+    assert ((Forest(x[:300], y[:300])(x[300:]) > 0.5) == y[300:]).mean() > 0.85
+
+
+def test_empty_tables(spark, nothing):
+    items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    everything = F.lit(True)
+    for df in (
+        token_counts.token_counts(nothing), packing.pack(nothing), rules.apply_policy(rules.ledger(nothing), "strict-1"), sharding.shard(nothing), class_lm.class_scores(nothing, everything),
+        ngram_join.similar_components(nothing), decontam.contamination(nothing, items), quality.quality_scores(nothing, labels, everything), pii.pseudonymized(nothing, b"k"), secret_scan.scanned(nothing),
+    ):
+        assert df.count() == 0
+
+
+def test_no_items(docs, spark, texts):
+    got = decontam.contamination(docs, spark.createDataFrame([], "item_id bigint, text string")).agg(F.sum("n_hit"), F.count("*")).first()
+    assert tuple(got) == (0, len(texts))
+
+
+def test_digest_of_no_items():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
