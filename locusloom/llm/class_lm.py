@@ -2,7 +2,7 @@
 P(w_i | w_i-1) = P(class_i | class_i-1) P(w_i | class_i).
 
 Tokens are runs without ASCII white space with A-Z lowered, then one end for each text. Words are counted over all training texts.
-The ``HEAD`` most frequent words (a fixed bound) travel to every task; all others are the tail, which stays a distributed table and
+The most frequent words, ``HEAD`` at most, travel to every task; all others are the tail, which stays a distributed table and
 is joined by word, so memory doesn't grow with the vocabulary. The ``CLUSTERED`` most frequent words and the end are clustered by
 exchange on their bigram counts (a matrix of fixed size, summed over all training texts); each word beyond them is in one of the
 fixed classes of its shape (other letters than ASCII's, and its last byte) and of head or tail, so unknown words have a class, too.
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_and_bytes, staged, worker_of
+from .common import by_bytes, count_floor, id_and_bytes, staged, worker_of
 
 HEAD = 200_000
 CLUSTERED = 768
@@ -233,13 +233,12 @@ def class_scores(docs: DataFrame, training: Column, clustered: int = CLUSTERED,
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities). ``training``: which rows to learn from."""
     train = id_and_bytes(docs.where(training))
     counts = staged(train.mapInArrow(count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(head_size).collect()
+    floor = count_floor(counts, head_size)
+    top = sorted(counts.where((F.col("n") >= floor) | (F.col("word") == F.lit(bytearray(END)))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     head, own = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
     clustered = min(clustered, len(head))
     whole = counts.agg(F.sum("n"), F.count("*")).first()
-    edge = (top[-1]["n"], head[-1]) if len(head) == head_size else None
-    # what comes after the last head word in the order of the head
-    tail = counts.where((F.col("n") < edge[0]) | ((F.col("n") == edge[0]) & (F.col("word") > F.lit(bytearray(edge[1]))))) if edge else counts.limit(0)
+    tail = counts.where((F.col("n") < floor) & (F.col("word") != F.lit(bytearray(END))))
     tail = tail.withColumn("shape", shape_column(F.col("word")))
     by_shape = {r["shape"]: (r["t"], r["k"]) for r in tail.groupBy("shape").agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
     width = clustered + 2 * SHAPES

@@ -91,3 +91,16 @@ def worker_of(owner: str) -> None:
         gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def count_floor(counts: DataFrame, most: int) -> int:
+    """A number such that at most ``most`` rows have ``n`` of it or more: from the numbers of rows by size class (32 for each doubling
+    of n), so that no task and not the driver sorts or holds the rows themselves."""
+    classes = counts.groupBy(F.floor(F.log2("n") * 32).alias("c")).agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    total, floor = 0, max((r["high"] for r in classes), default=0) + 1
+    for r in sorted(classes, key=lambda r: -r["c"]):
+        total += r["rows"]
+        if total > most:
+            break
+        floor = r["low"]
+    return floor
