@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, by_bytes, id_and_bytes, staged, worker_of
+from .common import BROADCAST_BYTES, by_bytes, count_floor, id_and_bytes, staged, worker_of
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -131,7 +131,8 @@ def whole_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
 
 def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     found = id_and_bytes(docs).mapInArrow(lambda it: common_batches(it, k), "token bigint, n bigint")
-    rows = found.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    counts = staged(found.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16"), "common")
+    rows = counts.where(F.col("n") >= count_floor(counts, COMMON)).collect()
     token = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
     count = np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(token)
