@@ -83,14 +83,21 @@ RELEASE: list[Callable[[], None]] = []
 
 def worker_of(owner: str) -> None:
     """Called first in a task. Spark reuses workers, so a task of another operator first empties what the one before kept, and
-    every task gives freed memory back to the system."""
+    every task gives freed memory back to the system: Arrow takes its memory from the C library, and large arrays are mapped."""
+    libc = None
+    with contextlib.suppress(OSError):
+        libc = ctypes.CDLL("libc.so.6")
+    if not _OWNER[0]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(AttributeError):
+            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
     if _OWNER[0] != owner:
         _OWNER[0] = owner
         for f in RELEASE:
             f()
         gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    with contextlib.suppress(AttributeError):
+        libc.malloc_trim(0)
 
 
 def count_floor(counts: DataFrame, most: int) -> int:
