@@ -60,7 +60,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 ids, with their ids."""
-    return packing.pack(docs, window=4096)
+    return packing.pack(docs, window=4096, keep=600_000)
 
 
 STAGES = [

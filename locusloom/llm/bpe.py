@@ -37,10 +37,11 @@ class WordBpe:
     """Lower-casing byte-level BPE with word-end symbols.
 
     ``chunks`` are maximal runs without ASCII white space; a chunk's tokens don't depend on its neighbours, so they are kept in
-    a table of at most ``keep`` chunks, which starts anew when full.
+    a young and an old table of at most ``keep`` chunks together: when the young one has half of them it becomes the old one, from
+    which chunks that come again move back.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
@@ -57,7 +58,7 @@ class WordBpe:
         top = max([int(self.base) - 1, *self.special.values()])
         self.dtype = np.dtype("<u2") if top < (1 << 16) - 1 else np.dtype("<u4")
         self._hash_pairs(np.array([vocab[a] for a, _ in pairs], np.int64) * self.base + np.array([vocab[b] for _, b in pairs], np.int64))
-        self.keep, self.ids = keep, {}
+        self.keep, self.ids, self.old = keep, {}, {}
 
     def _hash_pairs(self, keys: np.ndarray) -> None:
         """An open-addressed table: pair -> rank."""
@@ -155,8 +156,6 @@ class WordBpe:
         All chunks of a kind are split by one search over their lines; a mark that is no id stands for each line's end.
         """
         new = list(chunks)
-        if len(self.ids) + len(new) > self.keep:
-            self.ids = {}
         plain, wide, odd = [], [], []
         for c in new:
             if self.mark is not None and self.mark in c:
@@ -200,9 +199,14 @@ class WordBpe:
         ids = list(map(self.ids.get, words))
         unknown = [k for k, x in enumerate(ids) if x is None]
         if unknown:
-            self.learn({words[k] for k in unknown})
+            missing = {words[k] for k in unknown}
+            back = missing & self.old.keys()
+            self.ids.update(zip(back, map(self.old.__getitem__, back)))
+            self.learn(missing - back)
             for k in unknown:
                 ids[k] = self.ids[words[k]]
+            if 2 * len(self.ids) > self.keep:
+                self.ids, self.old = {}, self.ids
         raw = b"".join(ids)
         ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == end[0]) * self.dtype.itemsize
         return [raw[a:b] for a, b in zip([0, *(ends + self.dtype.itemsize).tolist()], [*ends.tolist(), len(raw)])]
@@ -212,9 +216,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    """One instance for each Python worker and vocabulary."""
-    return WordBpe(path)
+def word_bpe(path: str, keep: int = 800_000) -> WordBpe:
+    """One instance for each Python worker, vocabulary and size of its tables."""
+    return WordBpe(path, keep)
 
 
 RELEASE.append(word_bpe.cache_clear)

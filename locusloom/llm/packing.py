@@ -27,9 +27,9 @@ STREAM = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_to bigint"
 
 
-def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, keep: int) -> Iterator[pa.RecordBatch]:
     worker_of("bpe")
-    bpe, part, before = word_bpe(path), TaskContext.get().partitionId(), 0
+    bpe, part, before = word_bpe(path, keep), TaskContext.get().partitionId(), 0
     end = np.array([end_id], bpe.dtype).tobytes()
     for whole in batches:
         for batch, texts in by_bytes(whole):
@@ -70,11 +70,11 @@ def cut_batches(batches: Iterator[pa.RecordBatch], bases: dict[int, int], total:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"] + ["ids"] * with_ids)
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = 4096, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = 4096, with_ids: bool = True, keep: int = 2_400_000) -> DataFrame:
     """Pieces of at most ``window`` ids: doc_id, start and length in the document, sequence_id and offset in the packed stream,
-    and the piece's ids (little-endian unsigned 32-bit) if ``with_ids``; their CRC-32 always."""
+    and the piece's ids (little-endian unsigned 32-bit) if ``with_ids``; their CRC-32 always. ``keep``: chunks in a worker's tables; full, they take about 0.4 GB, and smaller ones only take more time."""
     path = path or public_path("word_bpe_49k.json")
-    stream = staged(id_and_bytes(docs).mapInArrow(lambda it: tokenize_batches(it, path, end_id), STREAM), "stream")
+    stream = staged(id_and_bytes(docs).mapInArrow(lambda it: tokenize_batches(it, path, end_id, keep), STREAM), "stream")
     totals = stream.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each partition of the input
     bases, total = {}, 0
     for part, n in sorted(totals):

@@ -11,7 +11,6 @@ Null text has no candidates and stays null; null ids stay null; repeated rows ar
 from __future__ import annotations
 
 import base64
-import hashlib
 import math
 import random
 import re
