@@ -34,12 +34,13 @@ def extents(rows: DataFrame, cutoff: int | None) -> DataFrame:
     return rows.withColumn("s", s).withColumn("e", F.greatest(e, ahead) if cutoff is not None else e)
 
 
-def islands(spans: DataFrame, radius: int = RADIUS) -> DataFrame:
+def islands(spans: DataFrame, radius: int = RADIUS, hold=lambda df: df) -> DataFrame:
     """(chrom, s, e) -> (chrom, s, bundle_id): a new bundle starts where s is more than ``radius`` past all earlier ends.
 
-    Spans with one start are one row first, so a tile's window has a row for each base at most.
+    Spans with one start are one row first, so a tile's window has a row for each base at most. ``hold`` may
+    write what is read twice.
     """
-    starts = spans.groupBy("chrom", "s").agg(F.max("e").alias("e"))
+    starts = hold(spans.groupBy("chrom", "s").agg(F.max("e").alias("e")))
     flagged = running(starts, ["chrom"], "s", "e", "_reach", how="max", inclusive=False)
     flagged = flagged.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("s") > F.col("_reach") + radius), 1).otherwise(0))
     return running(flagged, ["chrom"], "s", "_new", "bundle_id").select("chrom", "s", "e", "bundle_id")

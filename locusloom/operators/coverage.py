@@ -14,10 +14,10 @@ def steps(blocks: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return blocks.select(*keys, F.inline(edges)).groupBy(*keys, "at").agg(F.sum("w").alias("w"))
 
 
-def segments(blocks: DataFrame, weight: str = "1.0D / nh", keys: list[str] = ("chrom",)) -> DataFrame:
-    """(chrom, s, e, v): maximal runs of one depth above 0, each read weighted by 1/NH."""
+def segments(blocks: DataFrame, weight: str = "1.0D / nh", keys: list[str] = ("chrom",), hold=lambda df: df) -> DataFrame:
+    """(chrom, s, e, v): maximal runs of one depth above 0, each read weighted by 1/NH. ``hold`` may write what is read twice."""
     keys = list(keys)
-    depth = running(steps(blocks, keys, weight).where("w <> 0"), keys, "at", "w", "v")
+    depth = hold(running(hold(steps(blocks, keys, weight).where("w <> 0")), keys, "at", "w", "v"))
     return _closed(depth, keys)
 
 

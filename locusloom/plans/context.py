@@ -31,7 +31,7 @@ class Steps:
 
     @cached_property
     def starts(self) -> DataFrame:
-        return bundles.islands(self.extents)
+        return held(bundles.islands(self.extents, hold=held))
 
     @cached_property
     def bundles(self) -> DataFrame:

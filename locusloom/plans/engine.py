@@ -12,6 +12,7 @@ from .. import __version__
 from ..functions import cigar as C
 from ..operators import buckets, counts, coverage, intervals, preprocess, reconstruct, sinks
 from .context import Steps
+from .tables import held
 
 __all__ = ["Store", "ingest", "__version__"]
 
@@ -104,7 +105,7 @@ def ingest(
         "bundles": steps.bundles,
         "subexons": steps.subexons,
         "fragments": steps.fragments,
-        "segments": coverage.segments(rows.select("chrom", "nh", F.inline("blocks"))),
+        "segments": coverage.segments(rows.select("chrom", "nh", F.inline("blocks")), hold=held),
         "buckets": buckets.buckets(steps.fragments),
         "lengths": steps.lengths,
         "bucket_coverage": buckets.bucket_coverage(steps.local),

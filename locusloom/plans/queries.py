@@ -13,6 +13,7 @@ from ..functions import runs as V
 from ..operators import buckets, bundles, counts, coverage, evaluate, intervals, pairing, preprocess, reconstruct, sinks
 from ..sources import fixtures as X
 from .context import steps
+from .tables import held
 
 #: The range of the region queries (fixed values).
 CHROM, START, END = "view", 20000, 60000
@@ -165,7 +166,7 @@ def genes_raw(s, d):
     rows = bundles.with_blocks(X.reads(s, d))
     far = F.coalesce((F.col("mate_chrom") == F.col("chrom")) & (F.col("mate_pos") > F.col("pos")), F.lit(False))
     spans = rows.select("chrom", F.get("blocks", F.lit(0))["s"].alias("s"), F.when(far, F.col("mate_pos")).otherwise(F.element_at("blocks", -1)["e"]).alias("e"))
-    return bundles.bundles(bundles.islands(spans)).select("chrom", "s", "e")
+    return bundles.bundles(bundles.islands(spans, hold=held)).select("chrom", "s", "e")
 
 
 @query
@@ -245,7 +246,7 @@ def bucket_coverage_rle(s, d):
 
 def _segments(s, d):
     rows = bundles.with_blocks(X.reads(s, d))
-    return coverage.segments(rows.select("chrom", "nh", F.inline("blocks")))
+    return coverage.segments(rows.select("chrom", "nh", F.inline("blocks")), hold=held)
 
 
 @query
