@@ -158,13 +158,14 @@ class Join:
         self.postings = staged(self._postings(), "postings")
 
     def _postings(self) -> DataFrame:
-        """(token, vid, n, pos, many): vertices in buckets of two or more; many: the bucket is large."""
+        """(token, vid, n, pos, many): vertices in buckets of two or more; many: the bucket is large. At pos -1 the token is a group's,
+        and stands for the whole prefix that its vertices share."""
         tokens = self.sets.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "token"), "gkey")
         by = Window.partitionBy("token")
         met = tokens.withColumns({"low": F.min("gkey").over(by), "high": F.max("gkey").over(by), "last": F.lag("gkey").over(by.orderBy("gkey"))})
         met = met.where("low <> high and (last is null or last <> gkey)").select("token", "gkey", "pos")
         vertices = self.vertices.select("gkey", "vid", "n")
-        shared = vertices.groupBy("gkey").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("gkey", F.lit("group")).alias("token"), "gkey", F.lit(0).alias("pos"))
+        shared = vertices.groupBy("gkey").agg(F.count("*").alias("c")).where("c > 1").select(F.xxhash64("gkey", F.lit("group")).alias("token"), "gkey", F.lit(-1).alias("pos"))
         size = F.count("*").over(by)
         return met.union(shared).join(vertices, "gkey").select("token", "vid", "n", "pos").withColumn("many", size > BUCKET)
 
@@ -173,7 +174,8 @@ class Join:
         rows = self.postings.where("not many").select("token", "vid", "n", "pos")
         a, b = (rows.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("vid", "n", "pos"))) for x in "ab")
         met = a.join(b, "token").where(F.expr("vida < vidb and 100 * least(na, nb) >= " + f"{self.percent} * greatest(na, nb)"))
-        counts = met.groupBy("vida", "vidb", "na", "nb").agg(F.count("*").alias("shared"), F.max(fits(self.percent, "na", "nb", "posa", "posb")).alias("fits"))
+        weight = F.expr(f"case when posa < 0 then na - ({self.percent} * na + 99) div 100 + 1 else 1 end")
+        counts = met.groupBy("vida", "vidb", "na", "nb").agg(F.sum(weight).alias("shared"), F.max(fits(self.percent, "na", "nb", "posa", "posb")).alias("fits"))
         large = self.postings.where("many").groupBy("vid").agg(F.count("*").alias("l"))
         counts = counts.join(large.select(F.col("vid").alias("vida"), F.col("l").alias("la")), "vida", "left").join(large.select(F.col("vid").alias("vidb"), F.col("l").alias("lb")), "vidb", "left")
         p = self.percent

@@ -215,6 +215,15 @@ def test_join_repeated_rows_and_null_ids(spark):
     assert got == sorted([(7, 3, 3), (7, 3, 3), (None, 3, 3), (3, 2, 3), (3, 4, 3), (None, 0, None)], key=str)
 
 
+@pytest.mark.parametrize("copies", [2, 6])
+def test_join_finds_isolated_copies_that_differ_in_the_last_word(spark, copies):
+    """Most of these have the same prefix, which no other document has a part of."""
+    texts = [" ".join([*(f"d{d}w{k}" for k in range(60 + d)), f"last{d}of{c}"]) for d in range(12) for c in range(copies)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(rows).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
 def test_shingle_hashes_follow_words():
     texts = [b"a b c d e f", b"A  b\tc d e\nf", b"", b"a b", b"a b c d e", b"b c d e f"]
     sets = shingle_sets(texts)
