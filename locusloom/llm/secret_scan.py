@@ -29,12 +29,14 @@ from .forest import Forest
 NAMES = rb"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?"
 KINDS = ["assigned", "issued", "block", "mixed"]
 FINDERS = [
-    ("block", re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,8000}?-----END (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("block", re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]{16,}-----END (?:[A-Z]+ )*PRIVATE KEY-----")),
     # prefixes of issuers' public token forms (fixed values)
     ("issued", re.compile(rb"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,})(?![A-Za-z0-9_])")),
-    ("assigned", re.compile(rb"(?i)(?<![a-z])(?:" + NAMES + rb")s?[\"']?\s{0,3}(?::=|=>|[:=]|\s)\s{0,3}[\"']?([^\s\"'<>,;|]{6,256})")),
-    ("mixed", re.compile(rb"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,30}[0-9])[A-Za-z0-9+/_\-]{20,256}={0,2}")),
+    ("assigned", re.compile(rb"(?i)(?<![a-z])(?:" + NAMES + rb")s?[\"']?\s{0,3}(?::=|=>|[:=]|\s)\s{0,3}[\"']?([^\s\"'<>,;|]{6,})")),
+    ("mixed", re.compile(rb"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,30}[0-9])[A-Za-z0-9+/_\-]{20,}={0,2}")),
 ]
+#: What finds of the kinds before leave of a candidate, where it is long enough to be one.
+FREE, FREE_MIXED = re.compile(rb"\0{6,}"), re.compile(rb"\0{20,}")
 HINT = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential")
 TRUE_WORDS = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential|login|account")
 FALSE_WORDS = re.compile(rb"(?i)sha|md5|hash|checksum|digest|commit|uuid|guid|revision|version|example|placeholder|sample|test|dummy|integrity|etag|href|src|url")
@@ -69,7 +71,7 @@ def covered(text: bytes) -> float:
 
 
 def features_of(text: bytes, start: int, end: int, kind: str) -> list[float]:
-    value = text[start:end][:512]
+    value = text[start:end]
     n = max(len(value), 1)
     raw = np.frombuffer(value, np.uint8)
     kinds = CLASS_OF[raw]
@@ -114,10 +116,10 @@ def candidates(text: bytes) -> list[tuple[int, int, str]]:
             if b - a < 6:
                 continue
             taken = bytearray(len(text)) if taken is None else taken
-            if 1 in taken[a:b]:
-                continue
-            taken[a:b] = b"\1" * (b - a)
-            out.append((a, b, kind))
+            for free in (FREE_MIXED if kind == "mixed" else FREE).finditer(bytes(taken[a:b])):
+                c, d = a + free.start(), a + free.end()
+                taken[c:d] = b"\1" * (d - c)
+                out.append((c, d, kind))
     return sorted(out)
 
 
