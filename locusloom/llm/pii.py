@@ -26,16 +26,24 @@ from pyspark.sql import DataFrame
 from .common import RELEASE, id_and_bytes, worker_of
 
 ROUNDS = 8
-L, R = rb"(?<![0-9A-Za-z_\x80-\xff])", rb"(?![0-9A-Za-z_\x80-\xff])"
+#: In UTF-8, by length: Latin letters beyond ASCII, marks on letters, full-width digits and letters. No value begins or ends beside
+#: these or ASCII's; beside other scripts, punctuation and symbols it may.
+LATIN_2 = rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9\xcc][\x80-\xbf]|[\xca\xcd][\x80-\xaf])"
+LATIN_3 = (
+    rb"(?:\xe1[\xb8-\xbb][\x80-\xbf]|\xe2\xb1[\xa0-\xbf]|\xea(?:\x9c[\xa0-\xbf]|[\x9d-\x9f][\x80-\xbf]|\xac[\xb0-\xbf]|\xad[\x80-\xaf])"
+    rb"|\xef(?:\xac[\x80-\x86]|\xbc[\x90-\x99\xa1-\xba]|\xbd[\x81-\x9a]))"
+)
+NO_LATIN, LATIN = rb"(?<!" + LATIN_2 + rb")(?<!" + LATIN_3 + rb")", LATIN_2 + rb"|" + LATIN_3
+L, R = rb"(?<![0-9A-Za-z_])" + NO_LATIN, rb"(?![0-9A-Za-z_]|" + LATIN + rb")"
 PATTERNS = [
     ("mail", rb"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + R),
     ("iban", L + rb"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + R),
-    ("card", rb"(?<![0-9A-Za-z_.\x80-\xff])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})" + R),
-    ("ssn", rb"(?<![0-9A-Za-z_\-\x80-\xff])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_\-\x80-\xff])"),
-    ("ip", rb"(?<![0-9A-Za-z_.\x80-\xff])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z_\x80-\xff])"),
+    ("card", rb"(?<![0-9A-Za-z_.])" + NO_LATIN + rb"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})" + R),
+    ("ssn", rb"(?<![0-9A-Za-z_\-])" + NO_LATIN + rb"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + R),
+    ("ip", rb"(?<![0-9A-Za-z_.])" + NO_LATIN + rb"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?(?:[0-9A-Za-z_]|" + LATIN + rb"))"),
     ("date", L + rb"(?:[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\2[0-9]{4})" + R),
-    ("phone", rb"(?<![0-9A-Za-z_\x80-\xff])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?[0-9]{3,4}[ .\-]?[0-9]{3,4}|[0-9]{3}([ .\-])[0-9]{3}\1[0-9]{4})" + R),
-    ("phone", rb"(?<![0-9A-Za-z_\x80-\xff])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,5}){2,5}" + R),
+    ("phone", L + rb"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\) ?[0-9]{3,4}[ .\-]?[0-9]{3,4}|[0-9]{3}([ .\-])[0-9]{3}\1[0-9]{4})" + R),
+    ("phone", L + rb"\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,5}){2,5}" + R),
 ]
 FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS]
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1

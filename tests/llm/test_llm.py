@@ -300,6 +300,19 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert got[1]["text"] + " é" == got[2]["text"] and got[None]["text"] is None and got[4]["text"] == "" and len(got[1]["finds"]) == 1
 
 
+def test_pseudonyms_beside_other_scripts():
+    samples = ["4111 1111 1111 1111", "123-45-6789", "10.20.30.40", "2021-02-28", "DE89370400440532013000", "(269) 555-3296", "+1 269 555 3296", "x.y_1@mail.example.com"]
+    for s in samples:
+        for a, b in ("“”", "：。", "号と", "№ж", "«»", "\u00a0\u00a0", "×÷", "🎉🎉"):
+            text = f"{a}{s}{b}".encode()
+            found = pii.finds(text, b"k")
+            assert [text[f[0] : f[1]] for f in found] == [s.encode()], text
+    for s in samples[:6]:
+        for a in "éÖŁạＡ１\u0301":
+            whole = s.encode()
+            assert all(text[f[0] : f[1]] != whole for text in (f"{a}{s}".encode(), f"{s}{a}".encode()) for f in pii.finds(text, b"k") if s[0] != "("), (a, s)
+
+
 def test_secrets(spark):
     held = secret_scan.example_findings(20, seed=77)
     forest = secret_scan.default_forest()
