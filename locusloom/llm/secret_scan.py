@@ -5,7 +5,9 @@ run of letters and digits. The forest sees its length, how its characters follow
 cover, whether it stands in a path, and its neighbouring words. It is trained from labelled findings: (text, start, end, kind, label)
 rows, by default those of ``example_findings``, a seeded set of invented true and false findings; callers may pass their own.
 
-Null text has no candidates and stays null; null ids stay null; repeated rows are scanned each; other columns are the caller's.
+A candidate is a whole run, however long; features see all of it. Null text has no candidates and stays null; empty text stays empty;
+null ids stay null; ids are integers; repeated rows are scanned each; an empty table gives an empty result. Other columns are left
+out unless the caller keeps them; a kept column with the name of a result (text, finds, n_candidates) gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_of
+from .common import worker_of
 from .forest import Forest
 
 NAMES = rb"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?"
@@ -33,10 +35,11 @@ FINDERS = [
     # prefixes of issuers' public token forms (fixed values)
     ("issued", re.compile(rb"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,})(?![A-Za-z0-9_])")),
     ("assigned", re.compile(rb"(?i)(?<![a-z])(?:" + NAMES + rb")s?[\"']?\s{0,3}(?::=|=>|[:=]|\s)\s{0,3}[\"']?([^\s\"'<>,;|]{6,})")),
-    ("mixed", re.compile(rb"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,30}[0-9])[A-Za-z0-9+/_\-]{20,}={0,2}")),
+    ("mixed", re.compile(rb"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}")),
 ]
 #: What finds of the kinds before leave of a candidate, where it is long enough to be one.
 FREE, FREE_MIXED = re.compile(rb"\0{6,}"), re.compile(rb"\0{20,}")
+DIGIT = re.compile(rb"[0-9]")
 HINT = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential")
 TRUE_WORDS = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential|login|account")
 FALSE_WORDS = re.compile(rb"(?i)sha|md5|hash|checksum|digest|commit|uuid|guid|revision|version|example|placeholder|sample|test|dummy|integrity|etag|href|src|url")
@@ -113,7 +116,7 @@ def candidates(text: bytes) -> list[tuple[int, int, str]]:
             if kind == "assigned":
                 while b > a and text[b - 1] in b"!?.$&%#*:)]}":
                     b -= 1
-            if b - a < 6:
+            if b - a < 6 or (kind == "mixed" and not DIGIT.search(text, a, b)):
                 continue
             taken = bytearray(len(text)) if taken is None else taken
             for free in (FREE_MIXED if kind == "mixed" else FREE).finditer(bytes(taken[a:b])):
@@ -218,7 +221,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], forest: Forest, least: float
 def scanned(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mask: bytes = b"[SECRET]", keep: list[str] = ()) -> DataFrame:
     """doc_id, text with its secrets masked, the number of candidates, the finds (bytes of the text as it was), and ``keep``."""
     forest = forest or default_forest()
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)
+    keep = [c for c in keep if c not in ("doc_id", "text", "n_candidates", "finds")]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keep)
     schema = ", ".join([SCAN, *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])])
     return rows.mapInArrow(lambda it: scan_batches(it, forest, least, mask), schema)
