@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local session (tests) gets a temporary one, and
+    any other is refused: tables in a machine's own folder would be missing on the others."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="locusloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,22 +40,25 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads; what isn't a staged table stays."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles():
+            whole = re.match(r"(.*/staged/[0-9a-f]{32})/", file)
+            if whole:
+                path = jvm.org.apache.hadoop.fs.Path(whole[1])
+                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                break
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id and the UTF-8 bytes of the text, for Arrow operators; other columns are left behind."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts make Spark's default of 10000 rows an Arrow batch of tens of MB, held by JVM and Python; a session that hasn't
-    chosen otherwise gets smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    """doc_id and the UTF-8 bytes of the text, for Arrow operators; other columns are left behind. doc_id is an integer column."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def let(value: Column, body) -> Column:
@@ -65,6 +72,35 @@ def small_enough(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> b
     return total <= limit
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes a row takes in a broadcast hash table: its strings and arrays as they are, 8 for other columns, and 40 around them."""
+    total = F.lit(40)
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + 8 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            total = total + 16 + F.coalesce(2 * F.octet_length(F.to_json(f.name)), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+#: Over how many parts each key's rows of the large side go where a side table is too large to be broadcast.
+SALTS = 32
+
+
+def join_side(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written side table: by broadcast if its measured bytes allow it, else by shuffle, where the rows of a key
+    are dealt over ``SALTS`` parts and the side is repeated for each, so that no key is one task's. ``how``: inner, left,
+    left_semi, left_anti."""
+    if small_enough(side, row_bytes(side)):
+        return rows.join(F.broadcast(side), on, how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a (doc_id, text) batch of about ``most`` bytes of text each, with their texts; null texts are empty."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -201,9 +201,11 @@ def linked(texts):
     return [(len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("bucket", [40, 3])
-def test_join_against_all_pairs(docs, texts, bucket, monkeypatch):
+@pytest.mark.parametrize(("bucket", "part"), [(40, 256), (3, 256), (3, 4)])
+def test_join_against_all_pairs(docs, texts, bucket, part, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "BLOCK", part)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()}
     assert got == dict(enumerate(linked(texts)))
 
@@ -224,6 +226,47 @@ def test_join_finds_isolated_copies_that_differ_in_the_last_word(spark, copies):
     assert got == dict(enumerate(linked(texts)))
 
 
+def last_word_pairs(seed, buckets):
+    """Families of random texts that differ in their last word only; texts of 8 to 300 words, families of 2 to 60."""
+    draw = random.Random(seed)
+    out = []
+    for f, copies in enumerate(buckets):
+        words = [f"s{seed}f{f}w{draw.randrange(10**6)}" for _ in range(draw.randint(8, 300))]
+        out += [" ".join([*words[:-1], f"last{f}of{c}"]) for c in range(copies)]
+    draw.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("bucket", [40, 3])
+def test_join_loses_no_pair_that_differs_in_the_last_word(spark, bucket, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    texts = last_word_pairs(bucket, [2] * 40 + [5] * 6 + [60])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(rows).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
+def test_join_of_hot_shingles(spark, monkeypatch):
+    """Boilerplate that is most of many texts, which are near copies of one another or too far apart: hot shingles, dealt and blocked."""
+    for name, value in (("HOT", 20), ("BUCKET", 5), ("PART", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(components, "DEAL", 10)
+    draw = random.Random(4)
+    passages = [[f"p{p}w{k}" for k in range(40)] for p in range(6)]
+    texts = []
+    for i in range(240):
+        some = draw.sample(passages, draw.randint(1, 3))
+        words = [w for p in some for w in p]
+        for _ in range(draw.randint(0, 2)):
+            words[draw.randrange(len(words))] = f"own{draw.randrange(200)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(rows).collect()}
+    assert got == dict(enumerate(linked(texts)))
+    join = ngram_join.Join(rows, 5, 75)
+    assert join.sets.agg(F.max("hot")).first()[0] > 0 and join.sizes.agg(F.max("size")).first()[0] > 16
+
+
 def test_shingle_hashes_follow_words():
     texts = [b"a b c d e f", b"A  b\tc d e\nf", b"", b"a b", b"a b c d e", b"b c d e f"]
     sets = shingle_sets(texts)
@@ -231,7 +274,9 @@ def test_shingle_hashes_follow_words():
     assert sets[0].tolist() == sets[1].tolist() and set(sets[0].tolist()) == {sets[4][0], sets[5][0]}
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("deal", [1_000_000, 5])
+def test_components_of_a_path(spark, deal, monkeypatch):
+    monkeypatch.setattr(components, "DEAL", deal)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["vid"]: r["root"] for r in components.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
