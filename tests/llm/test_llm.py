@@ -138,35 +138,109 @@ def test_sharding_movement(spark):
     assert r["rows"] == 4000 and r["moved"] < 4000 * 0.3
 
 
-def test_class_model(docs, texts):
-    training = class_lm.fold_of(F.col("doc_id")) != 1
-    counts = Counter()
-    for i, t in enumerate(texts):
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            counts.update([*words_of(t), b"\n"])
+def shape_of(word):
+    """The tail's classes, from their definition: the kind of the last byte, and whether all letters are ASCII's."""
+    last = chr(word[-1])
+    kind = 0 if last.islower() and last.isascii() or word[-1] > 127 else 1 if last == "." else 2 if last == "," else 3 if last in "0123456789" else 4
+    return kind if word.isascii() else kind + 5
+
+
+@pytest.mark.parametrize("head_size", [60, 10_000])
+def test_class_model_against_brute_force(docs, texts, head_size):
+    """Every score from the classes found and from counts over the training texts alone."""
+    training, clustered, classes = class_lm.fold_of(F.col("doc_id")) != 1, 30, 6
+    tokens = {i: [*words_of(t), b"\n"] for i, t in enumerate(texts)}
+    learned = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for i in learned for w in tokens[i])
     n, v = sum(counts.values()), len(counts)
-    for head in (40, 10_000):
-        rows = class_lm.class_scores(docs, training, clustered=30, classes=6, head_size=head).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            tokens = [*words_of(texts[r["doc_id"]]), b"\n"]
-            base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(w in counts for w in tokens), n)
-            assert abs(base - r["base_score"]) < 1e-6 * max(1, abs(base)) and r["score"] < 0
+    at_least = sorted(counts.values(), reverse=True)[: head_size + 1]
+    rows = class_lm.class_scores(docs, training, clustered=clustered, classes=classes, head_size=head_size).collect()
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    floor = class_lm.count_floor(docs.sparkSession.createDataFrame([(c,) for c in counts.values()], "n bigint"), head_size)
+    head = [w for w in ranked if counts[w] >= floor or w == b"\n"]
+    assert len(head) <= len(at_least)
+    coded = docs.select("doc_id", F.col("text").cast("binary").alias("text"), training.alias("train")).mapInArrow(lambda it: class_lm.coded_batches(it, head), class_lm.CODED)
+    of, table = class_lm.clustered_head(coded.where("train").select("ids"), head, clustered, classes, class_lm.ROUNDS)
+    assert (of < classes).all()
+    cls = {w: int(c) for w, c in zip(head, of)}
+    class_of = lambda w: cls[w] if w in cls else classes + shape_of(w)
+    many, pairs, size, kinds = classes + class_lm.SHAPES, Counter(), Counter(), Counter()
+    for i in learned:
+        pairs.update(zip([class_of(b"\n"), *map(class_of, tokens[i])], map(class_of, tokens[i])))
+    assert {k: c for k, c in np.ndenumerate(table) if c} == dict(pairs)
+    for w, c in counts.items():
+        size[class_of(w)] += c
+        kinds[class_of(w)] += 1
+    starts = Counter()
+    for (a, _), c in pairs.items():
+        starts[a] += c
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = tokens[r["doc_id"]]
+        base = sum(np.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        score = 0.0
+        for a, b in zip([b"\n", *words], words):
+            c, d = class_of(a), class_of(b)
+            score += np.log10((pairs[c, d] + class_lm.TRANSITION) / (starts[c] + class_lm.TRANSITION * many))
+            score += np.log10((counts[b] + class_lm.EMISSION) / (size[d] + class_lm.EMISSION * (kinds[d] + (d >= classes))))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in counts for w in words), n)
+        assert abs(base - r["base_score"]) < 1e-6 * max(1, abs(base)) and abs(score - r["score"]) < 1e-6 * max(1, abs(score))
 
 
 def test_class_model_sums_to_one():
     draw = random.Random(1)
     head = [f"w{i}".encode() for i in range(30)] + [b"\n"]
     own = np.array([draw.randint(1, 50) for _ in head])
-    width = 20 + 2 * class_lm.SHAPES
-    pairs = np.array([[draw.randint(0, 9) for _ in range(width)] for _ in range(width)])
-    model = class_lm.Model(head, own, pairs, 20, 5, int(own.sum()) + 9, len(head) + 3, {3: (9, 3)})
+    many = 5 + class_lm.SHAPES
+    of = np.array([draw.randrange(5) for _ in head])
+    table = np.array([[draw.randint(0, 9) for _ in range(many)] for _ in range(many)], float)
+    model = class_lm.Model(head, own, of, table, int(own.sum()) + 9, len(head) + 3, {3: (9, 3)})
     assert np.allclose((10**model.step).sum(1), 1)
-    cls = model.of[class_lm.group_of(np.arange(len(head)), model.shapes, 20)]
-    for c in set(cls.tolist()):
-        assert abs((10 ** model.emit[: len(head)][cls == c]).sum() - 1) < 1e-9
+    for c in set(of.tolist()):
+        assert abs((10 ** model.emit[: len(head)][of == c]).sum() - 1) < 1e-9
     assert abs((9 + 3 * 0.5 + 0.5) / model.tail_under[3] - 1) < 1e-12
+    assert [model.of[-1 - s] for s in range(class_lm.SHAPES)] == list(range(5, many))
+
+
+def test_exchange_rounds_take_the_greatest_gain():
+    """Against the likelihood of whole class tables, for words that don't stand beside themselves."""
+    draw = np.random.default_rng(5)
+    words, classes = 40, 5
+    pairs = draw.integers(0, 4, (words, words)) * draw.integers(0, 2, (words, words))
+    np.fill_diagonal(pairs, 0)
+    of = draw.integers(0, classes, words)
+    one = np.eye(classes)[of]
+    table = one.T @ pairs @ one
+    near = np.stack((pairs.T @ one, pairs @ one), 1)
+    got = class_lm.best_classes(near, of, table, classes)
+    for w in range(words):
+        own = near[w].astype(float)
+        apart = one.copy()
+        apart[w] = 0
+        rest = apart.T @ pairs @ apart  # without w's pairs
+
+        def gain(c):
+            # what the other words' cells gain by w's counts, as the rounds reckon them: cells that hold w's own pairs on the other side stay as they are
+            h = class_lm.entropy
+            row, col = table[c] - (own[1] if c == of[w] else 0), table[:, c] - (own[0] if c == of[w] else 0)
+            sums = (table.sum(1)[c] - (own[1].sum() if c == of[w] else 0), table.sum(0)[c] - (own[0].sum() if c == of[w] else 0))
+            return (h(row + own[1]) - h(row)).sum() + (h(col + own[0]) - h(col)).sum() - (h(sums[0] + own[1].sum()) - h(sums[0])) - (h(sums[1] + own[0].sum()) - h(sums[1]))
+
+        assert rest.sum() + own.sum() == table.sum()
+        assert gain(int(got[w])) >= max(gain(c) for c in range(classes)) - 1e-9
+
+
+def test_exchange_rounds_find_planted_classes(spark):
+    """Words beyond the clustered ones join the class of the words they stand in for."""
+    draw = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abcd"]
+    text = lambda: " ".join(draw.choice(kinds[j % 4][: 3 if draw.random() < 0.7 else 40]) for j in range(60))
+    docs = spark.createDataFrame([(i, text()) for i in range(150)], "doc_id bigint, text string")
+    head = [w.encode() for k in range(40) for w in (kinds[0][k], kinds[1][k], kinds[2][k], kinds[3][k])] + [b"\n"]
+    coded = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(True).alias("train")).mapInArrow(lambda it: class_lm.coded_batches(it, head), class_lm.CODED)
+    of, _ = class_lm.clustered_head(coded.select("ids"), head, 12, 4, 3)
+    share = sum(Counter(of[k:160:4].tolist()).most_common(1)[0][1] for k in range(4)) / 160
+    assert share > 0.95
 
 
 def test_exchange_finds_alternating_classes():
