@@ -205,7 +205,9 @@ def best_classes(near: np.ndarray, own: np.ndarray, table: np.ndarray, classes:
         c = own[row[home]]
         full = cell[home, c]
         add[home, c] = entropy(full) - entropy(np.maximum(full - n[home], 0))
-        np.add.at(gain, row, add)
+        if len(row):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            gain[row[first]] += np.add.reduceat(add, first)
         size, whole = view.sum(1), near[:, side].sum(1).astype(float)
         loss = entropy(size + whole[:, None]) - entropy(size)
         mine = np.flatnonzero(own < classes)
@@ -225,8 +227,8 @@ def likelihood(table: np.ndarray) -> float:
 def summed(pairs: DataFrame, width: int) -> np.ndarray:
     """(pair, n) rows as a matrix; at most width * width numbers."""
     total = np.zeros(width * width)
-    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        total[r["pair"]] = r["n"]
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    total[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return total.reshape(width, width)
 
 
@@ -255,9 +257,9 @@ def clustered_head(train: DataFrame, head: list[bytes], clustered: int, classes:
 
     def exchanged(now: np.ndarray, table: np.ndarray) -> np.ndarray:
         group, out = grouped(now, classes), now.copy()
-        near = train.mapInArrow(lambda it: neighbour_batches(it, group, width, clustered), "part int, cells binary, counts binary").repartition("part")
-        for r in near.mapInArrow(lambda it: moved_batches(it, now, table, classes, clustered), "word bigint, class bigint").collect():
-            out[r["word"]] = r["class"]
+        near = train.mapInArrow(lambda it: neighbour_batches(it, group, width, clustered), "part int, cells binary, counts binary").repartition(PARTS // 4, "part")
+        rows = near.mapInArrow(lambda it: moved_batches(it, now, table, classes, clustered), "word bigint, class bigint").toArrow()
+        out[rows["word"].to_numpy()] = rows["class"].to_numpy()
         return out
 
     table = counted(of)
@@ -376,8 +378,9 @@ def class_scores(docs: DataFrame, training: Column, clustered: int = CLUSTERED,
     train = id_and_bytes(docs.where(training))
     counts = staged(train.mapInArrow(count_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     floor = count_floor(counts, head_size)
-    top = sorted(counts.where((F.col("n") >= floor) | (F.col("word") == F.lit(bytearray(END)))).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    head, own = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    rows = counts.where((F.col("n") >= floor) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
+    top = sorted(zip(rows["n"].to_pylist(), rows["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    head, own = [w for _, w in top], np.array([n for n, _ in top], np.int64)
     whole = counts.agg(F.sum("n"), F.count("*")).first()
     tail = counts.where((F.col("n") < floor) & (F.col("word") != F.lit(bytearray(END))))
     tail = tail.withColumn("shape", shape_column(F.col("word")))
