@@ -6,9 +6,12 @@ digits are made anew, separators stay, and who holds the key can turn the permut
 
 Formats: cards (Luhn), IBANs (mod 97), social security numbers (valid areas, groups, serials), IPv4 addresses, calendar dates from
 1900 to 2099, telephone numbers, and mail addresses (letters and digits permuted in place, the last label kept). Equal digits with
-other separators stay linked. Finds are taken in that order of trust and don't overlap. Everything else in a text is left alone.
+other separators stay linked: a telephone number's country code is told by its digits, not by what separates it, and mail addresses
+that differ in case get pseudonyms that differ in case. Finds are taken in that order of trust and don't overlap. Everything else in
+a text is left alone; no find has a limit of length but its format's own.
 
-Null text stays null; null ids stay null; repeated rows are done each; other columns pass through where the caller keeps them.
+Null text stays null; empty text stays empty; null ids stay null; ids are integers; repeated rows are done each; other columns are left
+out, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ LATIN_3 = (
 NO_LATIN, LATIN = rb"(?<!" + LATIN_2 + rb")(?<!" + LATIN_3 + rb")", LATIN_2 + rb"|" + LATIN_3
 L, R = rb"(?<![0-9A-Za-z_])" + NO_LATIN, rb"(?![0-9A-Za-z_]|" + LATIN + rb")"
 PATTERNS = [
-    ("mail", rb"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}" + R),
     ("iban", L + rb"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)" + R),
     ("card", rb"(?<![0-9A-Za-z_.])" + NO_LATIN + rb"(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5})" + R),
     ("ssn", rb"(?<![0-9A-Za-z_\-])" + NO_LATIN + rb"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + R),
@@ -46,6 +48,10 @@ PATTERNS = [
     ("phone", L + rb"\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,5}){2,5}" + R),
 ]
 FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS]
+#: What stands before and after the sign of a mail address.
+MAIL_LOCAL, MAIL_DOMAIN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-", re.compile(rb"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}" + R)
+#: Country calling codes of two digits; those that begin with 1 or 7 have one, all others three (fixed values).
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal() - datetime.date(1900, 1, 1).toordinal() + 1
 
 
@@ -87,6 +93,11 @@ def shift_digits(d: str, key: bytes, tweak: str, back: bool) -> str:
     return str(permute(int(d), 10 ** len(d), key, f"{tweak}{len(d)}", back)).zfill(len(d)) if d else d
 
 
+def country_code(digits: str) -> str:
+    """The country code that the digits of an international number begin with."""
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def shift_text(s: str, key: bytes, tweak: str, back: bool) -> str:
     """Letters and digits of ``s`` permuted as one number in mixed radix; each place keeps its kind."""
     kinds = [("0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isascii() and c.isalnum() else "" for c in s]
@@ -167,9 +178,9 @@ def date(s: str, key: bytes, back: bool) -> str | None:
 
 
 def phone(s: str, key: bytes, back: bool) -> str | None:
-    m = re.match(r"\+([0-9]{1,3})(?=[ .\-(])", s)
-    code = m[1] if m else ""
-    d = digits_of(s)[len(code) :]
+    d = digits_of(s)
+    code = country_code(d) if s[0] == "+" else ""
+    d = d[len(code) :]
     if not 7 <= len(d) <= 13:
         return None
     if len(d) == 10 and code in ("", "1") and d[0] > "1" and d[3] > "1":
@@ -189,7 +200,8 @@ def phone(s: str, key: bytes, back: bool) -> str | None:
 
 def mail(s: str, key: bytes, back: bool) -> str | None:
     head, _, top = s.rpartition(".")
-    return f"{shift_text(head, key, 'mail', back)}.{top}"
+    new = shift_text(head.lower(), key, "mail", back)
+    return f"{''.join(n.upper() if c.isupper() else n for c, n in zip(head, new))}.{top}"
 
 
 SHIFTS = {"card": card, "iban": iban, "ssn": ssn, "ip": ip, "date": date, "phone": phone, "mail": mail}
@@ -204,23 +216,40 @@ def shifted(kind: str, value: bytes, key: bytes, back: bool = False) -> bytes |
 RELEASE.append(shifted.cache_clear)
 
 
+def mails(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of mail addresses, each with all of its local part."""
+    low, at = 0, text.find(b"@")
+    while at >= 0:
+        domain = MAIL_DOMAIN.match(text, at + 1)
+        head = text[low:at]
+        own = head[len(head.rstrip(MAIL_LOCAL)) :].lstrip(b"._%+-")
+        low = at + 1
+        if domain and own:
+            yield at - len(own), domain.end()
+            low = domain.end()
+        at = text.find(b"@", low)
+
+
+def spans(text: bytes) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what may be a value, in order of trust."""
+    yield from (("mail", a, b) for a, b in mails(text))
+    for kind, finder in FINDERS:
+        yield from ((kind, *m.span()) for m in finder.finditer(text))
+
+
 def finds(text: bytes, key: bytes, back: bool = False) -> list[tuple[int, int, str, bytes]]:
     """(start, end, kind, pseudonym) of every valid value, by place, without overlaps."""
     out: list[tuple[int, int, str, bytes]] = []
     if not HAS_DIGIT.search(text) and b"@" not in text:
         return out
     taken = bytearray(len(text))
-    for kind, finder in FINDERS:
-        if kind == "mail" and b"@" not in text:
+    for kind, a, b in spans(text):
+        if 1 in taken[a:b]:
             continue
-        for m in finder.finditer(text):
-            a, b = m.span()
-            if 1 in taken[a:b]:
-                continue
-            new = shifted(kind, m[0], key, back)
-            if new is not None:
-                out.append((a, b, kind, new))
-                taken[a:b] = b"\1" * (b - a)
+        new = shifted(kind, text[a:b], key, back)
+        if new is not None:
+            out.append((a, b, kind, new))
+            taken[a:b] = b"\1" * (b - a)
     return sorted(out)
 
 
