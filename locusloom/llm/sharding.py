@@ -7,9 +7,11 @@ the shards with the most home keys), so counts differ by one at most; a larger s
 
 Only the rows of each cell are counted and sent to the driver (at most ``cells`` numbers, whatever the input); there the cells are
 walked clockwise and each is cut into ranges of ranks, one for each shard that takes part of it. Rows find their range by their
-rank in their cell, so no task handles more than a cell's keys and texts are never shuffled.
+rank in their cell. Cells of more than ``LOAD`` rows (one key, or null, may have many) are dealt into parts of about that many, whose
+sizes are summed before the ranks within them are added, so no task handles a whole hot cell; texts are never shuffled.
 
-Null text has size 1; a null doc_id hashes as a value of its own; repeated rows are placed each; other columns are ignored.
+Null text has size 1; a null doc_id hashes as a value of its own; repeated rows and equal ids are placed each; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ import hashlib
 import json
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import join_side, staged
+
 CELLS = 1 << 14
+#: Rows of a part of a cell, about.
+LOAD = 100_000
 
 
 def nodes(shards: int, vnodes: int, cells: int) -> list[int]:
@@ -82,21 +88,32 @@ def cell_of(key: Column, cells: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("ring")), F.lit(cells)).cast("int")
 
 
-def ranges(keys: DataFrame, shards: int, vnodes: int, cells: int, slack: float) -> DataFrame:
-    """The ranges of ``allot`` as a table of at most ``cells`` rows and a few for each shard."""
-    counts = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    text = json.dumps(allot(counts, shards, vnodes, cells, slack))
-    schema = "array<struct<cell int, low bigint, high bigint, shard int, slot0 bigint>>"
-    return keys.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), schema)))
+def cell_counts(keys: DataFrame) -> dict[int, int]:
+    return {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+
+def table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
 def shard(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0.0, cells: int = CELLS) -> DataFrame:
     """doc_id, size (bytes of the text and 1), text_crc32, shard, and slot, which counts each shard's rows from 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), cell_of(F.col("doc_id"), cells).alias("cell"))
-    ring = ranges(rows.select("cell"), shards, vnodes, cells, slack)
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id", F.lit("rank")), "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
+    counts = cell_counts(rows)
+    ring = table(docs.sparkSession, allot(counts, shards, vnodes, cells, slack), "cell int, low bigint, high bigint, shard int, slot0 bigint")
+    hot = {cell: n // LOAD + 1 for cell, n in counts.items() if n > LOAD}
+    if hot:  # rows are dealt by chance, so what was drawn is written
+        parts = table(docs.sparkSession, [{"cell": c, "parts": n} for c, n in hot.items()], "cell int, parts int")
+        dealt = rows.join(F.broadcast(parts), "cell", "left").withColumn("part", F.coalesce(F.floor(F.rand(17) * F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        rows = staged(dealt, "dealt")
+        before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        held = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+        rows = join_side(rows, staged(held.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases"), ["cell", "part"])
+    else:
+        rows = rows.withColumns({"part": F.lit(0), "base": F.lit(0).cast("long")})
+    order = Window.partitionBy("cell", "part").orderBy(F.xxhash64("doc_id", F.lit("rank")), "doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("rank", F.col("base") + F.row_number().over(order) - 1)
     held = (ranked["cell"] == ring["cell"]) & (ranked["rank"] >= ring["low"]) & (ranked["rank"] < ring["high"])
     joined = ranked.join(F.broadcast(ring), held)
     return joined.select("doc_id", "size", "text_crc32", "shard", (ring["slot0"] + ranked["rank"] - ring["low"]).cast("long").alias("slot"))
