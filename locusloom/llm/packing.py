@@ -1,12 +1,12 @@
 """Concatenate and cut: all documents form one stream of token ids, which is cut into fixed windows.
 
 Pass 1 tokenizes each partition and writes, beside a document's ids, how many ids of its partition come before it; the written
-table fixes the order. The totals of the partitions (a row for each) give every partition's offset by a prefix sum. Pass 2 knows
-each document's place in the stream from these two sums alone, so it cuts row by row without a shuffle; a document that crosses
-a window's boundary gives a record for each side.
+table fixes the order. The totals of the partitions (a row for each) give every partition's offset by a prefix sum, in a table that
+is joined to the stream (broadcast if its measured bytes allow it). Pass 2 knows each document's place in the stream from these two
+sums alone, so it cuts row by row; a document that crosses a window's boundary gives a record for each side.
 
-Null text counts as empty: its only id is the end id. Null doc_ids stay null, repeated rows are packed each, other columns are
-ignored, an empty table gives no pieces. Only the stream's last sequence has padding; ``padded_to`` says up to where.
+Null text counts as empty: its only id is the end id. Ids are integers; null ids stay null, repeated rows are packed each, other
+columns are ignored, an empty table gives no pieces. Only the stream's last sequence has padding; ``padded_to`` says up to where.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import public_path, word_bpe
-from .common import by_bytes, id_and_bytes, staged, worker_of
+from .common import by_bytes, id_and_bytes, join_side, staged, worker_of
 
 STREAM = "doc_id bigint, part int, before bigint, n bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_to bigint"
@@ -43,15 +43,14 @@ def tokenize_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int,
             before = int(ends[-1])
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch], bases: dict[int, int], total: int, window: int, dtype: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def cut_batches(batches: Iterator[pa.RecordBatch], total: int, window: int, dtype: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     worker_of("packing")
     last = (total - 1) // window if total else 0
     rest = total - last * window
     rest = rest if rest & (rest - 1) == 0 else window  # a power of two stays as it is
     for batch in batches:
-        docs, part, before, n, ids = (batch.column(k) for k in range(5))
-        n = n.to_numpy()
-        first = before.to_numpy() + np.array([bases[p] for p in part.to_pylist()], np.int64)
+        docs, first, n, ids = (batch.column(k) for k in range(4))
+        first, n = first.to_numpy(), n.to_numpy()
         pieces = np.where(n > 0, (first + n - 1) // window - first // window + 1, 0)
         row = np.repeat(np.arange(len(n)), pieces)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -70,14 +69,23 @@ def cut_batches(batches: Iterator[pa.RecordBatch], bases: dict[int, int], total:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"] + ["ids"] * with_ids)
 
 
+def offsets(totals: DataFrame, block: int = 1024) -> DataFrame:
+    """(part, n) -> (part, base): the sum of n over all parts before; by blocks of parts, so that no window is over all of them."""
+    tiled = totals.withColumn("_block", F.expr(f"part div {block}"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = tiled.groupBy("_block").agg(F.sum("n").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_in"))
+    within = Window.partitionBy("_block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = tiled.withColumn("_own", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return own.join(whole, "_block").select("part", (F.col("_in") + F.col("_own")).alias("base"))
+
+
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = 4096, with_ids: bool = True, keep: int = 2_400_000) -> DataFrame:
     """Pieces of at most ``window`` ids: doc_id, start and length in the document, sequence_id and offset in the packed stream,
     and the piece's ids (little-endian unsigned 32-bit) if ``with_ids``; their CRC-32 always. ``keep``: chunks in a worker's tables; full, they take about 0.4 GB, and smaller ones only take more time."""
     path = path or public_path("word_bpe_49k.json")
     stream = staged(id_and_bytes(docs).mapInArrow(lambda it: tokenize_batches(it, path, end_id, keep), STREAM), "stream")
-    totals = stream.groupBy("part").agg(F.sum("n").alias("n")).collect()  # a row for each partition of the input
-    bases, total = {}, 0
-    for part, n in sorted(totals):
-        bases[part], total = total, total + n
+    totals = staged(stream.groupBy("part").agg(F.sum("n").alias("n")), "totals")  # a row for each partition of the input
+    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = join_side(stream, staged(offsets(totals), "offsets"), ["part"]).select("doc_id", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     dtype = word_bpe(path).dtype.str
-    return stream.mapInArrow(lambda it: cut_batches(it, bases, total, window, dtype, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return placed.mapInArrow(lambda it: cut_batches(it, total, window, dtype, with_ids), PIECES + (", ids binary" if with_ids else ""))
