@@ -7,8 +7,9 @@ on are the intersection of their offset-adjusted lists. Only these are compared
 
 Words are runs of the given class after A-Z are lowered. Null text has no words and no hits; an item without words matches nothing;
 hits of items with a null item_id count as hit words but name no item. Rows that share doc_id and text get the same result each;
-rows that share a doc_id only are told apart by a hash of their text. Other columns are ignored. No item side is broadcast unless
-its measured size allows it.
+rows that share a doc_id only, or have none, are told apart by a hash of their text. Ids may be of any type. Other columns are ignored,
+whatever their names; without items nothing is hit; an empty table gives an empty result. No item side is broadcast unless its
+measured bytes allow it; beyond that, the rows of a frequent term are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, let, staged
+from .common import join_side, let, row_bytes, small_enough, staged
 
 #: Between words, once A-Z are lowered; and between words of the text as it is.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,11 +38,6 @@ def places(text: Column) -> Column:
     return F.split(lower_ascii(text), BETWEEN)
 
 
-def small(df: DataFrame, row_bytes: int = 200) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 class Search:
     """One search of all items in all documents. ``terms``: how many of a window's rarest terms must agree."""
 
@@ -58,10 +54,13 @@ class Search:
     def _starts(self, terms: int) -> DataFrame:
         """(ik, o, term, start, nth): each window's rarest terms, where all its terms occur."""
         offsets = self.items.select("ik", "least", F.size("words").alias("n"), F.posexplode("words").alias("o", "term"))
-        vocabulary = offsets.select("term").distinct()
+        vocabulary = staged(offsets.select("term").distinct(), "vocabulary")
         tokens = self.docs.select(F.explode(places(F.col("text"))).alias("term"))
-        counts = staged(tokens.join(small(vocabulary, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("f")), "counts")
-        counted = offsets.join(small(counts, 64), "term", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+        if small_enough(vocabulary, row_bytes(vocabulary)):
+            counts = tokens.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("f"))
+        else:  # counted first, so that a frequent term is a few rows in the join
+            counts = tokens.groupBy("term").agg(F.count("*").alias("f")).join(vocabulary, "term", "left_semi")
+        counted = join_side(offsets, staged(counts, "counts"), ["term"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
         first, last = F.greatest(F.lit(0), F.col("o") - F.col("least") + 1), F.least("o", F.col("n") - F.col("least"))
         windows = counted.withColumn("start", F.explode(F.sequence(first, last)))
         by = Window.partitionBy("ik", "start")
@@ -70,25 +69,25 @@ class Search:
 
     def _postings(self) -> DataFrame:
         """The index: (term, doc_id, h, pos) of the terms that windows start from."""
-        terms = small(self.starts.select("term").distinct(), 64)
-        return self.docs.select("doc_id", "h", F.posexplode(places(F.col("text"))).alias("pos", "term")).join(terms, "term").select("term", "doc_id", "h", "pos")
+        terms = staged(self.starts.select("term").distinct(), "terms")
+        return join_side(self.docs.select("doc_id", "h", F.posexplode(places(F.col("text"))).alias("pos", "term")), terms, ["term"]).select("term", "doc_id", "h", "pos")
 
     def alignments(self) -> DataFrame:
         """(doc_id, h, ik, at): places of an item's first word (before the text's start, too) that a window's rarest terms agree on."""
-        anchors = self.starts.select("term", "ik", "o").distinct()
-        votes = self.postings.join(small(anchors), "term").groupBy("doc_id", "h", "ik", (F.col("pos") - F.col("o")).alias("at")).agg(F.collect_set("o").alias("seen"))
+        anchors = staged(self.starts.select("term", "ik", "o").distinct(), "anchors")
+        votes = join_side(self.postings, anchors, ["term"]).groupBy("doc_id", "h", "ik", (F.col("pos") - F.col("o")).alias("at")).agg(F.collect_set("o").alias("seen"))
         needed = self.starts.groupBy("ik", "start").agg(F.collect_set("o").alias("os")).groupBy("ik").agg(F.collect_set("os").alias("needs"))
         agreed = F.exists("needs", lambda os: F.size(F.array_except(os, F.col("seen"))) == 0)
-        return votes.join(small(needed, 4000), "ik").where(agreed).select("doc_id", "h", "ik", "at")
+        return join_side(votes, staged(needed, "needed"), ["ik"]).where(agreed).select("doc_id", "h", "ik", "at")
 
     def phrases(self) -> DataFrame:
         """(doc_id, h, ik, low, high): runs of places, both ends included, where a document repeats a whole window of an item or more."""
         found = staged(self.alignments().groupBy("doc_id", "h").agg(F.collect_set(F.struct("ik", "at")).alias("found")), "alignments")
         side = found.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-        side = F.broadcast(side) if found.agg(F.coalesce(F.sum(F.size("found") * 100 + 60), F.lit(0))).first()[0] <= BROADCAST_BYTES else side
+        side = F.broadcast(side) if small_enough(side, row_bytes(side)) else side
         met = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
         met = met.select("doc_id", "h", places(F.col("text")).alias("doc"), F.explode("found").alias("x")).select("doc_id", "h", "doc", F.col("x.ik").alias("ik"), F.col("x.at").alias("at"))
-        met = met.join(small(self.items, 1000), "ik")
+        met = join_side(met, self.items, ["ik"])
 
         def runs(same: Column) -> Column:
             hit = lambda k: F.coalesce(F.get(same, k), F.lit(False))
@@ -103,11 +102,11 @@ class Search:
 
     def proximity(self, within: int) -> DataFrame:
         """(doc_id, h, ik, pos): places from which all of a window's rarest terms occur, in any order, within ``within`` words."""
-        needs = self.starts.groupBy("ik", "start").agg(F.collect_set("term").alias("terms"))
-        rows = self.postings.join(small(self.starts.select("term", "ik", "start").distinct()), "term")
+        needs = staged(self.starts.groupBy("ik", "start").agg(F.collect_set("term").alias("terms")), "needs")
+        rows = join_side(self.postings, staged(self.starts.select("term", "ik", "start").distinct(), "windows"), ["term"])
         near = Window.partitionBy("doc_id", "h", "ik", "start").orderBy("pos").rangeBetween(0, within - 1)
         seen = rows.withColumn("seen", F.size(F.collect_set("term").over(near)))
-        return seen.join(small(needs), ["ik", "start"]).where("seen = size(terms)").select("doc_id", "h", "ik", "pos").distinct()
+        return join_side(seen, needs, ["ik", "start"]).where("seen = size(terms)").select("doc_id", "h", "ik", "pos").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
@@ -117,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFr
     before = F.max("high").over(Window.partitionBy("doc_id", "h").orderBy("low", "high", "ik").rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("before", before).withColumn("new", F.greatest(F.lit(0), F.col("high") - F.greatest(F.col("low") - 1, F.coalesce("before", F.col("low") - 1))))
     hit = new.groupBy("doc_id", "h").agg(F.sum("new").alias("n_hit"))
-    named = spans.select("doc_id", "h", "ik").distinct().join(small(search.names), "ik")
+    named = join_side(spans.select("doc_id", "h", "ik").distinct(), search.names, ["ik"])
     ids = named.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     both = hit.withColumnsRenamed({"doc_id": "_id", "h": "_h"}).join(ids, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left").select("_id", "_h", "n_hit", "items")
     both = staged(both, "hits")
