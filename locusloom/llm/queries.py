@@ -31,9 +31,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rules.ledger(read_table(spark, sf_dir, "documents"))
+    book = rules.stored_ledger(read_table(spark, sf_dir, "documents"))
     judged = rules.apply_policy(rules.apply_policy(book, "base-1", "base_kept"), "strict-1")
-    return judged.select("doc_id", *rules.MEASURES[:5], (~F.col("base_kept")).alias("base_failed"), (F.col("base_kept") & F.col("kept")).alias("kept"))
+    return judged.select("doc_id", *rules.MEASURES[:5], (~F.col("base_kept")).alias("base_failed"), (F.col("base_kept") & F.col("kept")).alias("kept"), "failures")
+
+
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy fails, fails alone, and what would be kept without it: from the ledger's bits only."""
+    return rules.ablations(rules.stored_ledger(read_table(spark, sf_dir, "documents")), "strict-1")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(read_table(spark, sf_dir, "documents"), k=5, percent=75)
+    return similar_components(read_table(spark, sf_dir, "documents"), k=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {"quality_rule_ablations": quality_rule_ablations}
 
 
 OP2_SQL = r"""
@@ -97,7 +102,7 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-OP4_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -117,13 +122,19 @@ WITH d AS (
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
     length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim
   FROM w LEFT JOIN covered USING (rid)
-), b AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), f AS (
+  SELECT *, CAST(n_words < 20 AS BIGINT) + CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) * 2 + CAST(10 * n_symbols > 3 * n_words AS BIGINT) * 4
+    + CAST(2 * n_upper > word_chars AS BIGINT) * 8 + CAST(10 * n_exclaim > 3 * n_words AS BIGINT) * 16
+    + CAST(word_chars > 15 * n_words OR word_chars < 2 * n_words AS BIGINT) * 32 + CAST(n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines AS BIGINT) * 64 AS failures FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_upper > word_chars OR 10 * n_exclaim > 3 * n_words
-    OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR (n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines)) AS kept
-FROM b
+"""
+OP4_SQL = LEDGER_SQL + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+ABLATIONS_SQL = LEDGER_SQL + """
+SELECT rule, count(*) FILTER (WHERE failures & bit <> 0) AS fails, count(*) FILTER (WHERE failures = bit) AS alone, count(*) FILTER (WHERE failures & (127 - bit) = 0) AS kept_without
+FROM f, (SELECT unnest(['too_short', 'repeated_windows', 'symbols', 'shouting', 'exclamations', 'word_length', 'duplicate_lines']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64]) AS bit)
+GROUP BY rule
 """
 
 
@@ -154,4 +165,4 @@ FROM w LEFT JOIN n USING (doc_id) JOIN low ON low.a = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op4_quality_rules": OP4_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_quality_rules": OP4_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op9_ngram_jaccard_join": OP9_SQL}

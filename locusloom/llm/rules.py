@@ -1,10 +1,11 @@
 """Quality rules as a bitmask ledger, in built-in functions only.
 
-``ledger`` evaluates every rule once and keeps, for each row, the measurements and a bit for each failed rule. Policies are sets of
-rules with a version; ``apply_policy`` is one bitwise test, and ``ablations`` needs only the counts of distinct masks.
+``ledger`` evaluates every rule once and keeps, for each row, the measurements and a bit for each failed rule; ``stored_ledger`` writes
+that, without texts, for any number of policies to read. Policies are sets of rules with a version; ``apply_policy`` is one bitwise test, and ``ablations`` needs only the counts of distinct masks.
 
 Words are runs without ASCII white space. Windows of eight words are compared by a 64-bit hash within one text. Null text has no
-words and fails as too short; null ids stay null, repeated rows are judged each, other columns pass through ``apply_policy`` unread.
+words and fails as too short; null ids stay null, repeated rows are judged each; other columns pass through ``apply_policy`` unread,
+but for those with a measurement's name or ``failures``, which give way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, staged
 
 WHITE = " \t\n\x0b\f\r"
 WINDOW = 8
@@ -91,6 +92,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failures", mask)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table: doc_id, the measurements, ``failures``."""
+    return staged(ledger(docs).select("doc_id", *MEASURES, "failures"), "ledger")
+
+
 def policy_mask(policy: str) -> int:
     return sum(1 << BITS[name] for name in POLICIES[policy])
 
