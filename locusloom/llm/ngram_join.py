@@ -303,13 +303,15 @@ class Join:
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles and component_id of every row; h, a hash of its text; and component, a number for its component (null for rows
+    with the empty set, which have none), which tells components apart whose rows have no doc_id."""
     join = Join(docs, k, percent)
     _, roots = join.links()
     vertices = staged(join.vertices.join(roots, "vid", "left").select("s1", "s2", "doc_id", F.coalesce("root", "vid").alias("root")), "rooted")
     names = staged(vertices.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")  # written, so that joins split skewed keys
-    named = staged(vertices.join(names, "root").select("s1", "s2", "component_id"), "named")
+    named = staged(vertices.join(names, "root").select("s1", "s2", "component_id", F.col("root").alias("component")), "named")
     dropped(names, vertices, roots, join.vertices)
-    rows = join.sets.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(named, ["s1", "s2"], "left")
-    empty = join.sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(empty)
+    rows = join.sets.where("n > 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "s1", "s2").join(named, ["s1", "s2"], "left")
+    none = F.lit(None).cast("long").alias("component")
+    empty = join.sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "h", none)
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "h", "component").union(empty)

@@ -7,8 +7,9 @@
 3. A part of the training rows that the ridge didn't see is summed by rounded score; the isotonic fit pools adjacent bins.
 
 Labels are used only where ``training`` holds. Neither labels nor lang, source or doc_id are inputs of a score. Null text is scored
-as empty text; null labels are no labels; several labels of one doc_id count as one row each; rows are scored each, other columns are
-ignored; without labelled training rows every score is 0.5.
+as empty text; null labels are no labels; several labels of one doc_id count as one row each; rows are scored each, with null and
+repeated ids, too (``h``, a hash of the text, tells rows apart that share one); ids are integers; other columns are ignored, whatever
+their names; without labelled training rows every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for batch, texts in by_bytes(whole):
             x = np.array([statistics_of(t) for t in texts], np.float32)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), flat], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], ["doc_id", "h", "x"])
 
 
 class Kernel:
@@ -148,14 +149,14 @@ def raw_batches(batches: Iterator[pa.RecordBatch], kernel: Kernel, weights: np.n
 
 def score_batches(batches: Iterator[pa.RecordBatch], kernel: Kernel, weights: np.ndarray | None, isotonic: Isotonic) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = matrix(batch.column(1), len(kernel.mean))
+        x = matrix(batch.column(2), len(kernel.mean))
         score = np.full(len(x), 0.5) if weights is None else isotonic(kernel(x) @ weights)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "h", "score"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, training: Column, label: str = "quality", features: int = FEATURES, ridge: float = 1e-2) -> DataFrame:
-    """doc_id and score (0 to 1, higher: label 1 likelier) of every row. ``training``: the doc_ids whose labels may be used."""
-    rows = staged(id_and_bytes(docs).mapInArrow(statistics_batches, "doc_id bigint, x array<float>"), "statistics")
+    """doc_id, h and score (0 to 1, higher: label 1 likelier) of every row. ``training``: the doc_ids whose labels may be used."""
+    rows = staged(id_and_bytes(docs).withColumn("h", F.xxhash64("text")).mapInArrow(statistics_batches, "doc_id bigint, h bigint, x array<float>"), "statistics")
     d = len(STATISTICS)
     moments = rows.agg(*(f(F.get("x", F.lit(k)).cast("double")).alias(f"{n}{k}") for k in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     kernel = Kernel(np.array([moments[f"m{k}"] or 0.0 for k in range(d)]), np.array([moments[f"s{k}"] or 0.0 for k in range(d)]), features)
@@ -168,4 +169,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, training: Column, label:
         raw = known.where("calibrates").select("x", "y").mapInArrow(lambda it: raw_batches(it, kernel, weights), "bin bigint, y double")
         bins = [(r["bin"], r["n"], r["y"]) for r in raw.groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()]
     isotonic = Isotonic(bins)
-    return rows.mapInArrow(lambda it: score_batches(it, kernel, weights, isotonic), "doc_id bigint, score double")
+    return rows.mapInArrow(lambda it: score_batches(it, kernel, weights, isotonic), "doc_id bigint, h bigint, score double")

@@ -81,5 +81,32 @@ def test_repeated_rows(spark, folder):
     assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.similarity_stage(spark, docs, path).collect()))) == ["1", "None"]
 
 
+def test_rows_are_told_apart_by_their_texts(spark, folder):
+    """Two unrelated texts under one id, and texts without id: each is kept or dropped for itself."""
+    path, texts = folder
+    item = texts[-2]
+    near = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    rows = [(1, "one two three four five six seven"), (1, "a wholly other text of some more words"), (1, item), (None, item), (None, "a text without an id that is clean"), (None, near + " phi"), (None, near + " chi"), (7, near + " psi")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    clean = {(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, docs, path).collect()}
+    assert clean == {r for r in rows if r[1] != item}
+    single = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.similarity_stage(spark, docs, path).collect()), key=str)
+    assert single == sorted([rows[0], rows[1], rows[2], rows[4], rows[7]], key=str)
+    scores = [r["score"] for r in quality.quality_scores(docs, spark.read.parquet(f"{path}/labels.parquet"), F.lit(True)).collect()]
+    assert corpus_pipeline.quality_stage(spark, docs, path).count() <= len(scores)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    path, _ = folder
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, kept, str(tmp_path))
+    assert kept.count() == docs.count()
+
+
 def test_forest_is_default():
     assert secret_scan.default_forest() is secret_scan.default_forest()
