@@ -1,232 +1,234 @@
-"""Approximate reads from a bucket's aggregates: its coverage and its histograms of lengths.
+"""Reads rebuilt from a bucket's aggregates: its runs of coverage and its histograms of lengths.
 
-The search is greedy and sequential within a bucket, so it runs as a Python kernel over one row for each bucket (no shuffle after the
-aggregation). Histograms are handled in order of length, which makes the result a function of the aggregates alone.
+The coverage is read as a flow: where it rises, reads start; where it falls, reads end. Every unit of it is sent from a start to an
+end, so the rebuilt reads always add up to the coverage they come from. Among the ends that a start can reach, those at a distance
+that the histogram still has come first; what fits no length is a chain of abutting reads, which is cut at the end so that the number
+of reads comes out right. Pairs are looked up by where a mate has to end for a fragment length that the histogram still has.
+
+All of this works on distinct (start, end) spans with their numbers, never on single bases or reads, so a deep bucket costs what its
+distinct places cost. It is sequential within a bucket and runs as a Python kernel over one row for each bucket, without a shuffle
+after the aggregation; its result is a function of the aggregates alone.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import BUCKET, bucket_coverage, elements
+from ..functions import cigar as C
+from .buckets import ID
 
 Span = tuple[int, int]
 
 
-class Lengths:
-    """A histogram that is used up."""
-
-    def __init__(self, hist: dict[int, int]):
-        self.left = {n: f for n, f in sorted(hist.items()) if n > 0 and f > 0}
-
-    def __bool__(self) -> bool:
-        return bool(self.left)
-
-    def __contains__(self, n: int) -> bool:
-        return n in self.left
-
-    def take(self, n: int) -> None:
-        if n in self.left:
-            self.left[n] -= 1
-            if not self.left[n]:
-                del self.left[n]
-
-    def mode(self) -> int:
-        return max(self.left, key=lambda n: (self.left[n], -n))
-
-    def nearest(self, n: int) -> int:
-        return min(self.left, key=lambda x: (abs(x - n), x))
-
-    def total(self) -> int:
-        return sum(self.left.values())
-
-
-def from_edges(cov: np.ndarray, lens: Lengths) -> list[Span]:
-    """Reads where every start raises the coverage: taken in turn from the left end and the right end, each to the nearest place
-    where the coverage falls (rises) at a distance that is a known length."""
-    c, out, left = cov.copy(), [], True
-    longest = max(lens.left)
-    while True:
-        held = np.flatnonzero(c > 0)
-        if not len(held):
-            return out
-        a, b = int(held[0]), int(held[-1]) + 1
-        if left:
-            run = c[a : min(a + longest, b)]
-            zero = np.flatnonzero(run <= 0)
-            run = run[: zero[0]] if len(zero) else run
-            ends = [i + 1 for i in range(len(run)) if a + i + 1 == b or c[a + i + 1] < c[a + i]]
-        else:
-            ends = [n for n in range(1, min(longest, b - a) + 1) if b - n == a or c[b - n - 1] < c[b - n]]
-        known = next((n for n in ends if n in lens), None)
-        n = known or (ends[0] if ends else min(lens.mode() if lens else longest, b - a))
-        if known or not ends:
-            lens.take(n)
-        s, e = (a, a + n) if left else (b - n, b)
-        out.append((s, e))
-        c[s:e] -= 1
-        left = not left
-
-
-def from_left(cov: np.ndarray, lens: Lengths) -> list[Span]:
-    """Reads laid from left to right at the most frequent length. Where the coverage has a gap within it, a chain of abutting reads
-    is stretched up to the gap, or shortened back to it, while its mean length stays possible; chains are split evenly at the end."""
-    low, high, mode = min(lens.left), max(lens.left), lens.mode()
-    c = cov.copy()
-    chains: list[list[int]] = []
-
-    def lay(s: int, e: int) -> None:
-        chain = next((x for x in chains if x[1] == s), None)
-        if chain is not None and (e - chain[0]) <= high * (chain[2] + 1):
-            chain[1], chain[2] = e, chain[2] + 1
-        else:
-            chains.append([s, e, 1])
-        c[s:e] -= 1
-
-    while True:
-        held = np.flatnonzero(c > 0)
-        if not len(held):
-            break
-        s, end = int(held[0]), int(held[-1]) + 1
-        reach = min(mode, end - s)
-        zero = np.flatnonzero(c[s : s + reach] <= 0)
-        if not len(zero):
-            e = s + reach
-            if e - s >= low:
-                lay(s, e)
-                continue
-            chain = next((x for x in chains if x[1] == s), None)
-            if chain is not None and e - chain[0] <= high * chain[2]:
-                chain[1] = e
+def flow(runs: list[tuple[int, int, int]], hist: Counter) -> tuple[Counter, Counter]:
+    """Runs (s, e, depth) -> reads of known lengths, and chains: spans with their numbers. ``hist`` loses what it gave.
+
+    Places where the depth changes are taken from the left. A unit that starts at one can end at any place ahead where the depth falls
+    and up to which some unit is still unsent everywhere; ``left`` holds the unsent depth after each place.
+    """
+    change: Counter = Counter()
+    for s, e, v in runs:
+        change[s] += v
+        change[e] -= v
+    places = sorted(p for p, w in change.items() if w)
+    left, depth = [], 0
+    for p in places:
+        depth += change[p]
+        left.append(depth)
+    falls = {p: -change[p] for p in places if change[p] < 0}
+    reads: Counter = Counter()
+    chains: Counter = Counter()
+    for i, s in enumerate(places):
+        units = max(change[s], 0)
+        while units:
+            pick, first, room = None, None, units
+            for j in range(i + 1, len(places)):
+                room = min(room, left[j - 1])
+                if not room:
+                    break
+                e = places[j]
+                if falls.get(e):
+                    first = first or (j, min(room, falls[e]))
+                    if hist[e - s] > 0:
+                        pick = (j, min(room, falls[e], hist[e - s]))
+                        break
+            j, n = pick or first
+            e = places[j]
+            if pick:
+                reads[s, e] += n
+                hist[e - s] -= n
             else:
-                chains.append([max(0, e - low), e, 1])
-            c[s:e] -= 1
-            continue
-        gap = int(zero[0])
-        chain = next((x for x in chains if x[1] == s and s + gap - x[0] <= high * x[2]), None)
-        if chain is not None:
-            chain[1] = s + gap
-            c[s : s + gap] -= 1
-            continue
-        after = s + gap + next((k for k in range(len(c) - s - gap) if c[s + gap + k] > 0), 0)
-        chain = next((x for x in reversed(chains) if x[1] >= after > s + gap > x[0] and s + gap - x[0] >= low * x[2]), None)
-        if chain is not None:
-            c[s + gap : chain[1]] += 1
-            chain[1] = s + gap
-        elif gap >= low:
-            lay(s, s + gap)
-        elif 2 * gap < low:
-            c[s : s + gap] = 0
-        else:
-            lay(s, min(s + mode, end))
-    out = []
-    for s, e, k in chains:
-        for i in range(k):
-            rest = k - i - 1
-            n = max(min(mode, e - s - low * rest), e - s - high * rest, 1)
-            n = n if rest else e - s
-            out.append((s, s + n))
-            s += n
-    return [x for x in out if x[1] > x[0]]
-
-
-def paired_up(reads: list[Span], quota: Lengths, inner: list[int]) -> tuple[list[Span], list[tuple[Span, Span]]]:
-    """Pairs whose outer distance is a known fragment length, then nearest lengths, as many as the histogram says; others unpaired.
-
-    With inner bounds, reads that start before the first and reads that end after the last are partners first, and those that span
-    or lie between serve both sides.
+                chains[s, e] += n
+            units -= n
+            falls[e] -= n
+            for k in range(i, j):
+                left[k] -= n
+    return reads, chains
+
+
+def cut(chains: Counter, hist: Counter) -> Counter:
+    """Reads from chains: about as many as ``hist`` still has, chains of more bases first served, each cut into even parts."""
+    reads: Counter = Counter()
+    bases, wanted = sum((e - s) * n for (s, e), n in chains.items()), sum(hist.values())
+    mean = sum(k * n for k, n in hist.items()) / wanted if wanted else 0
+    parts = {c: max(1, round((c[1] - c[0]) / mean)) if mean else 1 for c in chains}
+    short = wanted - sum(parts[c] * n for c, n in chains.items()) if bases else 0
+    for c in sorted(chains, key=lambda c: (c[0] - c[1], c)):  # the longest first
+        s, e = c
+        more = max(0, min(short, chains[c] * (e - s - parts[c])))
+        each, some = divmod(more, chains[c])
+        for extra, n in ((each, chains[c] - some), (each + 1, some)):
+            k = parts[c] + extra
+            for i in range(k if n else 0):
+                reads[s + (e - s) * i // k, s + (e - s) * (i + 1) // k] += n
+        short -= more
+    return reads
+
+
+def paired_up(reads: Counter, quota: Counter, inner: list[int]) -> tuple[Counter, Counter]:
+    """Unpaired spans and pairs of spans, with their numbers. ``inner``: bounds between subexons.
+
+    A read that starts before the first bound looks first, for the longest fragment that is left, among reads that end where its mate
+    has to; those that end after the last bound come first, then those that start latest. What quota remains goes to the nearest lengths.
     """
-    rest, pairs, later = sorted(reads), [], []
-    right_side = False
-    while quota and len(rest) > 1:
-        one = rest.pop(-1 if right_side else 0)
-        order = range(len(rest)) if right_side else range(len(rest) - 1, -1, -1)
-        if inner:
-            other = (lambda x: x[0] < inner[0]) if right_side else (lambda x: x[1] > inner[-1])
-            order = sorted(order, key=lambda k: not other(rest[k]))
-        reach = (lambda x: one[1] - x[0]) if right_side else (lambda x: x[1] - one[0])
-        k = next((k for k in order if reach(rest[k]) in quota), None)
-        if k is None:
-            later.append(one)
-        else:
-            two = rest.pop(k)
-            quota.take(reach(two))
-            pairs.append(tuple(sorted((one, two))))
-        right_side = not right_side
-    rest = sorted(rest + later)
-    while quota and len(rest) > 1:
-        one = rest.pop(0)
-        k = min(range(len(rest)), key=lambda k: (abs(rest[k][1] - one[0] - quota.nearest(rest[k][1] - one[0])), k))
-        two = rest.pop(k)
-        quota.take(quota.nearest(two[1] - one[0]))
-        pairs.append((one, two))
-    return rest, pairs
-
-
-def rebuild(cov: np.ndarray, unpaired: dict[int, int], paired: dict[int, int], left: dict[int, int], right: dict[int, int], inner: list[int]) -> tuple[list[Span], list[tuple[Span, Span]]]:
-    """Reads in bucket places. ``inner``: bounds between subexons."""
-    hist: dict[int, int] = {}
+    free, quota = Counter(reads), Counter({n: f for n, f in quota.items() if f > 0})
+    ending: dict[int, list[Span]] = defaultdict(list)
+    for x in sorted(free):
+        ending[x[1]].append(x)
+    pairs: Counter = Counter()
+    wide = lambda x: not inner or x[0] < inner[0]
+    order = sorted(free, key=lambda x: (not wide(x), x))
+
+    def take(one: Span, two: Span, length: int) -> None:
+        n = min(free[one] // 2 if one == two else free[one], free[two], quota[length])
+        if n > 0:
+            pairs[min(one, two), max(one, two)] += n
+            free[one] -= n
+            free[two] -= n
+            quota[length] -= n
+            if not quota[length]:
+                del quota[length]
+
+    lengths = sorted(quota, reverse=True)
+    for one in order:
+        for length in lengths:
+            if not free[one]:
+                break
+            if quota[length] and (others := ending.get(one[0] + length)):
+                for two in sorted(others, key=lambda x: (bool(inner) and x[1] <= inner[-1], -x[0])):
+                    if free[two] and two[0] >= one[0]:
+                        take(one, two, length)
+    ends = sorted({x[1] for x in free if free[x]})
+    for one in sorted(free):
+        while free[one] and quota and ends:
+            best = None
+            for length in sorted(quota):
+                k = bisect_left(ends, one[0] + length)
+                for e in ends[max(0, k - 1) : k + 1]:
+                    two = next((x for x in reversed(ending[e]) if free[x] > (x == one)), None)
+                    if two is not None and (best is None or abs(e - one[0] - length) < best[0]):
+                        best = (abs(e - one[0] - length), two, length)
+            if best is None:
+                stale = [e for e in ends if not any(free[x] > (x == one) for x in ending[e])]
+                ends = [e for e in ends if e not in set(stale)]
+                if not ends or not stale:
+                    break
+                continue
+            take(one, best[1], best[2])
+            if not any(free[x] for x in ending[best[1][1]]) and best[1][1] in ends:
+                ends.remove(best[1][1])
+        if free[one] and one[1] not in ends:
+            insort(ends, one[1])
+    return +free, pairs
+
+
+def divided(runs: list[tuple[int, int, int]], breaks: list[int]) -> list[list[tuple[int, int, int]]]:
+    """The runs between breaks, cut there."""
+    parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for s, e, v in runs:
+        at = [s, *(b for b in breaks if s < b < e), e]
+        for x, y in zip(at, at[1:]):
+            parts[bisect_right(breaks, x)].append((x, y, v))
+    return [parts[k] for k in sorted(parts)]
+
+
+def rebuild(
+    runs: list[tuple[int, int, int]], unpaired: dict[int, int], paired: dict[int, int], left: dict[int, int], right: dict[int, int], inner: list[int], breaks: list[int] = ()
+) -> tuple[list[Span], list[tuple[Span, Span]]]:
+    """Unpaired reads and pairs of reads in bucket places, in order. No read is over one of the ``breaks``."""
+    hist: Counter = Counter()
     for h in (unpaired, left, right):
-        for n, f in h.items():
-            hist[n] = hist.get(n, 0) + f
-    lens = Lengths(hist)
-    if not lens or not (cov > 0).any():
+        hist.update({n: f for n, f in h.items() if n > 0 and f > 0})
+    if not hist or not runs:
         return [], []
-    starts = int(cov[0]) + int(np.maximum(np.diff(cov), 0).sum())
-    reads = from_edges(cov, lens) if starts == lens.total() else from_left(cov, lens)
-    return paired_up(reads, Lengths(paired), inner)
+    reads: Counter = Counter()
+    chains: Counter = Counter()
+    for part in divided(runs, list(breaks)):
+        some, rest = flow(part, hist)
+        reads.update(some)
+        chains.update(rest)
+    single, pairs = paired_up(reads + cut(chains, +hist), Counter(paired), inner)
+    return sorted(single.elements()), sorted(pairs.elements())
 
 
-OUT = "chrom string, bundle_id bigint, path array<int>, strand string, nh int, kind string, n int, s bigint, e bigint, s_b bigint, e_b bigint"
+OUT = "chrom string, bundle_id bigint, bucket bigint, kind string, n int, s bigint, e bigint, s_b bigint, e_b bigint"
+COLUMNS = [x.split(" ")[0] for x in OUT.split(", ")]
 
 
 def _kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
+        out: list[tuple] = []
         for r in frame.itertuples(index=False):
-            cov = np.zeros(int(r.total), np.int64)
-            for x in r.runs:
-                cov[x["s"] : x["e"]] = x["v"]
-            hist = {k: {} for k in ("unpaired", "paired", "left", "right")}
+            hist: dict[str, dict[int, int]] = {k: {} for k in ("unpaired", "paired", "left", "right")}
             for x in r.hists:
                 hist[x["kind"]][int(x["len"])] = int(x["freq"])
-            single, pairs = rebuild(cov, **hist, inner=[int(x) for x in r.inner])
-            key = (r.chrom, r.bundle_id, r.path, r.strand, r.nh)
-            out += [(*key, "unpaired", n, a, b, None, None) for n, (a, b) in enumerate(sorted(single))]
-            out += [(*key, "paired", n, a, b, c, d) for n, ((a, b), (c, d)) in enumerate(sorted(pairs))]
-        rows = pd.DataFrame(out, columns=["chrom", "bundle_id", "path", "strand", "nh", "kind", "n", "s", "e", "s_b", "e_b"])
-        yield rows.astype({"s_b": "Int64", "e_b": "Int64"})
-
-
-def aggregates(steps) -> DataFrame:
-    """One row for each bucket: length, inner bounds, coverage runs, histograms."""
-    spots = elements(steps.fragments, steps.subexons)
-    shape = spots.groupBy(*BUCKET, "k").agg(F.first("off").alias("off"), F.first("total").alias("total"))
-    shape = shape.groupBy(*BUCKET).agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.when(F.col("off") > 0, F.col("off")))).alias("inner"))
-    runs = bucket_coverage(steps.local).groupBy(*BUCKET).agg(F.sort_array(F.collect_list(F.struct("s", "e", "v"))).alias("runs"))
-    hists = steps.lengths.groupBy(*BUCKET).agg(F.sort_array(F.collect_list(F.struct("kind", "len", "freq"))).alias("hists"))
-    held = lambda df: df.withColumn("_s", F.coalesce("strand", F.lit("."))).drop("strand")
-    key = ["chrom", "bundle_id", "path", "_s", "nh"]
-    both = held(shape).join(held(runs), key).join(held(hists), key)
-    return both.select("chrom", "bundle_id", "path", F.when(F.col("_s") != ".", F.col("_s")).alias("strand"), "nh", "total", "inner", "runs", "hists")
-
-
-def rebuilt(steps) -> DataFrame:
-    return aggregates(steps).mapInPandas(_kernel, OUT)
-
-
-def lifted(reads: DataFrame, parts: DataFrame) -> DataFrame:
-    """``rebuilt`` rows with genomic blocks of both records: each bucket interval laid over the subexons of its path."""
-    order = Window.partitionBy("_id", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    ids = reads.withColumn("_id", F.concat_ws("/", "chrom", "bundle_id", F.to_json("path"), F.coalesce("strand", F.lit(".")), "nh", "kind", "n"))
-    sides = ids.select("*", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("s").alias("low"), F.col("e").alias("high")), F.struct(F.lit("b").alias("side"), F.col("s_b").alias("low"), F.col("e_b").alias("high"))))).where("low is not null")
-    spots = sides.select("_id", "side", "low", "high", "chrom", "bundle_id", F.posexplode("path").alias("k", "subexon_id")).join(parts.withColumnsRenamed({"s": "ps", "e": "pe"}), ["chrom", "bundle_id", "subexon_id"])
-    placed = spots.withColumn("off", F.coalesce(F.sum(F.col("pe") - F.col("ps")).over(order), F.lit(0)))
-    cut = placed.where("low < off + pe - ps and high > off").select("_id", "side", "k", (F.col("ps") + F.greatest("low", "off") - F.col("off")).alias("s"), (F.col("ps") + F.least(F.col("high"), F.col("off") + F.col("pe") - F.col("ps")) - F.col("off")).alias("e"))
-    blocks = cut.groupBy("_id").agg(*(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == x, F.struct("k", "s", "e")))), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))).alias(f"blocks_{x}") for x in "ab"))
-    return ids.join(blocks, "_id").drop("_id")
+            single, pairs = rebuild([(int(x["s"]), int(x["e"]), int(x["v"])) for x in r.runs], **hist, inner=[int(x) for x in r.inner], breaks=[int(x) for x in r.breaks])
+            key = (r.chrom, r.bundle_id, r.bucket)
+            out += [(*key, "unpaired", n, a, b, None, None) for n, (a, b) in enumerate(single)]
+            out += [(*key, "paired", n, a, b, c, d) for n, ((a, b), (c, d)) in enumerate(pairs)]
+            if len(out) > 100_000:
+                yield pd.DataFrame(out, columns=COLUMNS).astype({"s_b": "Int64", "e_b": "Int64"})
+                out = []
+        yield pd.DataFrame(out, columns=COLUMNS).astype({"s_b": "Int64", "e_b": "Int64"})
+
+
+def aggregates(els: DataFrame, cover: DataFrame, lens: DataFrame) -> DataFrame:
+    """One row for each bucket: inner bounds, those of them at which the path goes back or to another chromosome, coverage runs, histograms."""
+    before = lambda c: F.lag(c).over(Window.partitionBy(*ID).orderBy("k"))
+    turns = els.withColumn("turn", (before("chrom_e") != F.col("chrom_e")) | (before("e") > F.col("s")))
+    offs = lambda when: F.sort_array(F.collect_list(F.when(when, F.col("off"))))
+    shape = turns.groupBy(*ID).agg(offs(F.col("off") > 0).alias("inner"), offs(F.col("turn")).alias("breaks"))
+    runs = cover.groupBy(*ID).agg(F.sort_array(F.collect_list(F.struct("s", "e", "v"))).alias("runs"))
+    hists = lens.groupBy(*ID).agg(F.sort_array(F.collect_list(F.struct("kind", "len", "freq"))).alias("hists"))
+    return shape.join(runs, ID).join(hists, ID)
+
+
+def rebuilt(els: DataFrame, cover: DataFrame, lens: DataFrame) -> DataFrame:
+    """(ID, kind, n, s, e, s_b, e_b): reads and pairs in bucket places."""
+    return aggregates(els, cover, lens).mapInPandas(_kernel, OUT)
+
+
+def lifted(reads: DataFrame, els: DataFrame, held: DataFrame) -> DataFrame:
+    """``rebuilt`` rows as fragments: frag, strand, nh, ca, ba, cb, bb (chromosome and genomic blocks of both records; cb and bb null if
+    unpaired). A record over subexons of two chromosomes, or whose blocks would go backwards, can't be placed; its mate stays alone."""
+    ids = reads.join(held.select(*ID, "strand", "nh"), ID).withColumn("frag", F.xxhash64(*ID, "kind", "n"))
+    side = lambda name, s, e: F.struct(F.lit(name).alias("side"), F.col(s).alias("low"), F.col(e).alias("high"))
+    sides = ids.select(*ID, "frag", F.inline(F.array(side("a", "s", "e"), side("b", "s_b", "e_b")))).where("low is not null")
+    spots = els.select(*ID, "k", "chrom_e", F.col("s").alias("sub_s"), F.col("e").alias("sub_e"), "off")
+    met = sides.join(spots, ID).where("low < off + sub_e - sub_s and high > off")
+    start, end = F.col("sub_s") + F.greatest("low", "off") - F.col("off"), F.col("sub_s") + F.least(F.col("high"), F.col("off") + F.col("sub_e") - F.col("sub_s")) - F.col("off")
+    placed = met.groupBy("frag", "side").agg(
+        F.min("chrom_e").alias("c"), F.max("chrom_e").alias("c2"),
+        F.transform(F.sort_array(F.collect_list(F.struct("k", start.alias("s"), end.alias("e")))), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))).alias("blocks"),
+    )
+    ahead = F.forall(F.sequence(F.lit(1), F.size("blocks")), lambda i: (i == F.size("blocks")) | (F.get("blocks", i - 1)["e"] <= F.coalesce(F.get("blocks", i)["s"], F.lit(0))))
+    both = placed.where((F.col("c") == F.col("c2")) & ahead).withColumn("blocks", C.joined(F.col("blocks"))).groupBy("frag").agg(F.sort_array(F.collect_list(F.struct("side", F.col("c").alias("c"), "blocks"))).alias("x"))
+    one, two = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    told = both.select("frag", one["c"].alias("ca"), one["blocks"].alias("ba"), two["c"].alias("cb"), two["blocks"].alias("bb"))
+    return ids.select(*ID, "kind", "frag", "strand", "nh").join(told, "frag")
