@@ -65,6 +65,13 @@ def valid(b: Column) -> Column:
     return F.forall(introns(b), lambda x: x["e"] >= x["s"])
 
 
+def joined(b: Column) -> Column:
+    """Blocks with abutting ones made one."""
+    starts = F.filter(b, lambda x, i: (i == 0) | (F.coalesce(F.get(b, i - 1)["e"], F.lit(-1)) != x["s"]))
+    ends = F.filter(b, lambda x, i: F.coalesce(F.get(b, i + 1)["s"], F.lit(-1)) != x["e"])
+    return F.zip_with(starts, ends, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
+
+
 def to_cigar(b: Column) -> Column:
     """M for blocks, N for gaps; abutting blocks become one."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("m"), F.lit(None).cast("long").alias("e"))

@@ -12,19 +12,22 @@ from .intervals import overlap_join
 RADIUS = 50
 
 
+def parsed(reads: DataFrame, legacy: bool = False) -> DataFrame:
+    """``reads`` with ``blocks``, null for a record without a CIGAR."""
+    return reads.withColumn("blocks", C.blocks(F.col("cigar"), F.col("pos"), legacy))
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """Parsed rows that have blocks. A record without takes those of its mate, where both are at the same place."""
+    own = rows.where("blocks is not null and size(blocks) > 0")
+    lack = rows.where("blocks is null and mate_pos = pos and mate_chrom = chrom")
+    mates = own.where("mate_pos = pos and mate_chrom = chrom").groupBy("qname", "chrom", "pos").agg(F.min_by("blocks", "line_no").alias("_mate"))
+    return own.union(lack.join(mates, ["qname", "chrom", "pos"]).withColumn("blocks", F.col("_mate")).select(rows.columns))
+
+
 def with_blocks(reads: DataFrame, legacy: bool = False) -> DataFrame:
-    """``reads`` with ``blocks``; a record without a CIGAR takes its mate's blocks where both are at the same place."""
-    rows = reads.withColumn("blocks", C.blocks(F.col("cigar"), F.col("pos"), legacy))
-    return rows.where("blocks is not null and size(blocks) > 0")
-
-
-def fill_cigar(reads: DataFrame) -> DataFrame:
-    """``*`` CIGARs replaced by the mate's, for mates at the same place."""
-    lack = reads.where("cigar = '*' and mate_pos = pos and mate_chrom = chrom")
-    mates = reads.where("cigar <> '*' and mate_pos = pos and mate_chrom = chrom").groupBy("qname", "chrom", "pos").agg(F.min_by("cigar", "line_no").alias("_mate"))
-    filled = lack.join(mates, ["qname", "chrom", "pos"], "left").withColumn("cigar", F.coalesce("_mate", "cigar")).select(reads.columns)
-    rest = reads.where("not coalesce(cigar = '*' and mate_pos = pos and mate_chrom = chrom, false)")
-    return rest.select(reads.columns).unionByName(filled)
+    """``reads`` that have blocks of their own, with them."""
+    return parsed(reads, legacy).where("blocks is not null and size(blocks) > 0")
 
 
 def extents(rows: DataFrame, cutoff: int | None) -> DataFrame:

@@ -36,8 +36,18 @@ def clipped(runs: DataFrame, start: int, end: int) -> DataFrame:
     return runs.where((F.col("s") < end) & (F.col("e") > start)).withColumn("s", F.greatest("s", F.lit(start))).withColumn("e", F.least("e", F.lit(end)))
 
 
-def dense(runs: DataFrame, start: int, end: int) -> DataFrame:
-    """One row, ``cov``: the depth at every place of [start, end), 0 where no segment is. The range is the caller's to bound."""
-    places = clipped(runs, start, end).select(F.explode(F.sequence("s", F.col("e") - 1)).alias("at"), "v")
-    held = places.agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    return held.select(F.transform(F.sequence(F.lit(start), F.lit(end - 1)), lambda p: F.coalesce(F.try_element_at(F.col("m"), p.cast("long")), F.lit(0.0))).alias("cov"))
+def dense(runs: DataFrame, start: int, end: int, block: int = 1 << 16) -> DataFrame:
+    """(s, cov): the depth at every place of [start, end), 0 where no segment is, in vectors of at most ``block`` places from s on.
+
+    ``runs``: segments of one chromosome. A block's vector is its runs repeated and the gaps between them, so it costs its length."""
+    first = lambda x: F.lit(start) + F.floor((x - F.lit(start)) / F.lit(block)) * F.lit(block)
+    own = clipped(runs, start, end).withColumn("at", F.explode(F.sequence(first(F.col("s")), first(F.col("e") - 1), F.lit(block))))
+    own = own.select("at", F.greatest("s", "at").alias("s"), F.least(F.col("e"), F.col("at") + block).alias("e"), F.col("v").cast("double").alias("v"))
+    held = own.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("s", "e", "v"))).alias("x"))
+    blocks = runs.sparkSession.range(start, max(start, end), block).select(F.col("id").alias("at"), F.least(F.col("id") + block, F.lit(end)).alias("to"))
+    some = blocks.join(held, "at", "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<s:bigint,e:bigint,v:double>>")))
+    before = lambda i: F.coalesce(F.get("x", i - 1)["e"], F.col("at"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    parts = F.transform("x", lambda r, i: F.concat(zeros(r["s"] - before(i)), F.array_repeat(r["v"], (r["e"] - r["s"]).cast("int"))))
+    tail = zeros(F.col("to") - F.coalesce(F.try_element_at("x", F.lit(-1))["e"], F.col("at")))
+    return some.select(F.col("at").alias("s"), F.concat(F.flatten(parts), tail).alias("cov"))

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as C
 from ..functions import records as R
+from . import pairing
 
 
 def mapped(records: DataFrame) -> DataFrame:
     return records.where((F.col("rname") != "*") & ~R.has(F.col("flag"), R.UNMAPPED))
 
 
-def unsorted(records: DataFrame) -> DataFrame:
-    """Records whose place is before that of the line before them on their chromosome."""
-    by = Window.partitionBy("rname").orderBy("line_no")
-    return records.withColumn("_before", F.lag("pos").over(by)).where("pos < _before").drop("_before")
+def unsorted(records: DataFrame, tile: int = 1 << 16) -> DataFrame:
+    """Records whose place is before that of the line before them on their chromosome. Lines are looked at by tiles of line numbers;
+    what stands before a tile is a row for each chromosome and tile."""
+    tiled = records.withColumn("_tile", F.expr(f"line_no div {tile}"))
+    lasts = tiled.groupBy("rname", "_tile").agg(F.max_by("pos", "line_no").alias("_last"))
+    into = lasts.select("rname", "_tile", F.lag("_last").over(Window.partitionBy("rname").orderBy("_tile")).alias("_in"))
+    own = tiled.withColumn("_own", F.lag("pos").over(Window.partitionBy("rname", "_tile").orderBy("line_no")))
+    return own.join(into, ["rname", "_tile"]).where("pos < coalesce(_own, _in)").select(records.columns)
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records by chromosome, place and line, over partitions by range."""
+    return records.repartitionByRange("rname", "pos").sortWithinPartitions("rname", "pos", "line_no")
 
 
 def remove_unmapped(records: DataFrame) -> DataFrame:
@@ -60,3 +70,13 @@ def long_share(reads: DataFrame, limit: int) -> DataFrame:
     """Percent of all records whose mate is farther ahead than ``limit``."""
     far = F.coalesce((F.col("mate_chrom") == F.col("chrom")) & (F.col("mate_pos") - F.col("pos") > limit), F.lit(False))
     return reads.agg((F.avg(F.when(far, 1.0).otherwise(0.0)) * 100).alias("percent"))
+
+
+def tophat(records: DataFrame) -> DataFrame:
+    """The steps for one spliced aligner's output: strands from mates, then sorted."""
+    return in_order(pairing.infer_record_strand(records))
+
+
+def hisat(records: DataFrame, hold=lambda df: df) -> DataFrame:
+    """The steps for the other's: no unmapped records, mates enumerated all against all, strands from mates, then sorted."""
+    return in_order(pairing.infer_record_strand(pairing.enumerated_records(remove_unmapped(records), hold)))
