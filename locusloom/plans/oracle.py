@@ -52,17 +52,19 @@ PRELUDE: list[tuple[str, str]] = [
   CASE WHEN code = 0 THEN list_concat(list_filter(path_a, lambda x: x < path_b[1]), path_b) ELSE list_concat(path_a, path_b) END AS path, code, strand, nh, bundle_id <> bundle_id_b AS crossing FROM coded
   UNION ALL SELECT line_no, line_no, NULL, chrom, bundle_id, bundle_id, path, NULL, path, 0, strand, nh, false FROM rows_ JOIN rpath USING (line_no)
   WHERE line_no NOT IN (SELECT line_a FROM pairs UNION ALL SELECT line_b FROM pairs)"""),
-    ("within", """SELECT *, array_to_string(path, ',') AS p FROM frags WHERE NOT crossing"""),
-    ("el0", """SELECT frag, line_a, line_b, chrom, bundle_id, p, strand, nh, code, len(path_a) AS na, CAST(unnest(range(len(path))) AS INTEGER) AS k, unnest(path) AS subexon_id FROM within"""),
-    ("el", """SELECT el0.*, sub.s, sub.e, CASE WHEN code = 0 THEN 'both' WHEN k < na THEN 'a' ELSE 'b' END AS side,
+    ("whole", """SELECT *, CASE WHEN crossing THEN array_to_string(path_a, ',') || '/' || bundle_id_b || '/' || array_to_string(path_b, ',') ELSE array_to_string(path, ',') END AS p,
+  CASE WHEN crossing THEN list_concat(path_a, path_b) ELSE path END AS walk FROM frags"""),
+    ("el0", """SELECT frag, line_a, line_b, chrom, bundle_id, p, strand, nh, code, crossing, na, k, subexon_id, CASE WHEN crossing AND k >= na THEN bundle_id_b ELSE bundle_id END AS eb
+  FROM (SELECT *, len(path_a) AS na, CAST(unnest(range(len(walk))) AS INTEGER) AS k, unnest(walk) AS subexon_id FROM whole)"""),
+    ("el", """SELECT el0.*, sub.s, sub.e, CASE WHEN code = 0 AND NOT crossing THEN 'both' WHEN k < na THEN 'a' ELSE 'b' END AS side,
   coalesce(sum(sub.e - sub.s) OVER (PARTITION BY frag ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(sub.e - sub.s) OVER (PARTITION BY frag) AS total
-  FROM el0 JOIN sub USING (chrom, bundle_id, subexon_id)"""),
-    ("loc", """SELECT el.chrom, el.bundle_id, p, strand, nh, frag, k, off + inc.s - el.s AS s, off + inc.e - el.s AS e, inc.s = el.s AS starts, inc.e = el.e AS ends
-  FROM el JOIN inc ON inc.subexon_id = el.subexon_id AND ((side <> 'b' AND inc.line_no = line_a) OR (side <> 'a' AND inc.line_no = line_b))"""),
-    ("lens", """SELECT chrom, bundle_id, p, strand, nh, 'unpaired' AS kind, len FROM within JOIN span ON span.line_no = line_a WHERE line_b IS NULL
-  UNION ALL SELECT chrom, bundle_id, p, strand, nh, 'left', len FROM within JOIN span ON span.line_no = line_a WHERE line_b IS NOT NULL
-  UNION ALL SELECT chrom, bundle_id, p, strand, nh, 'right', len FROM within JOIN span ON span.line_no = line_b
-  UNION ALL SELECT w.chrom, w.bundle_id, w.p, w.strand, w.nh, 'paired', total - (a.s - low) - (high - b.e) FROM within w JOIN span a ON a.line_no = line_a JOIN span b ON b.line_no = line_b
+  FROM el0 JOIN sub ON sub.chrom = el0.chrom AND sub.bundle_id = eb AND sub.subexon_id = el0.subexon_id"""),
+    ("loc", """SELECT el.chrom, el.bundle_id, p, strand, nh, frag, k, el.s AS es, el.e AS ee, off + inc.s - el.s AS s, off + inc.e - el.s AS e, inc.s = el.s AS starts, inc.e = el.e AS ends
+  FROM el JOIN inc ON inc.subexon_id = el.subexon_id AND inc.bundle_id = eb AND ((side <> 'b' AND inc.line_no = line_a) OR (side <> 'a' AND inc.line_no = line_b))"""),
+    ("lens", """SELECT chrom, bundle_id, p, strand, nh, 'unpaired' AS kind, len FROM whole JOIN span ON span.line_no = line_a WHERE line_b IS NULL
+  UNION ALL SELECT chrom, bundle_id, p, strand, nh, 'left', len FROM whole JOIN span ON span.line_no = line_a WHERE line_b IS NOT NULL
+  UNION ALL SELECT chrom, bundle_id, p, strand, nh, 'right', len FROM whole JOIN span ON span.line_no = line_b
+  UNION ALL SELECT w.chrom, w.bundle_id, w.p, w.strand, w.nh, 'paired', total - (a.s - low) - (high - b.e) FROM whole w JOIN span a ON a.line_no = line_a JOIN span b ON b.line_no = line_b
     JOIN (SELECT frag, max(total) AS total, min_by(s, k) AS low, max_by(e, k) AS high FROM el GROUP BY frag) x ON x.frag = w.frag"""),
     ("hist", """SELECT chrom, bundle_id, p AS path, strand, nh, kind, CAST(len AS BIGINT) AS len, count(*) AS freq FROM lens GROUP BY ALL"""),
     ("change", """SELECT chrom, spot, sum(w) AS w FROM (SELECT chrom, unnest([blk.s, blk.e]) AS spot, unnest([1.0::DOUBLE / nh, -1.0::DOUBLE / nh]) AS w FROM blk JOIN reads USING (line_no)) GROUP BY chrom, spot HAVING sum(w) <> 0"""),
@@ -73,8 +75,8 @@ PRELUDE: list[tuple[str, str]] = [
     ("tp", """SELECT x.transcript_id AS a, y.transcript_id AS b, x.n AS na, y.n AS nb, x.len AS la, y.len AS lb, i.exon AS i, j.exon AS j, i.s AS s1, i.e AS e1, j.s AS s2, j.e AS e2,
   1.0::DOUBLE - least(abs(i.s - j.s), 10) / 20.0::DOUBLE - least(abs(i.e - j.e), 10) / 20.0::DOUBLE AS x
   FROM tspan x JOIN tspan2 y ON x.chrom = y.chrom AND x.s < y.e AND x.e > y.s JOIN annot i ON i.transcript_id = x.transcript_id JOIN annot2 j ON j.transcript_id = y.transcript_id"""),
-    ("quant", """SELECT transcript_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT p_partkey AS transcript_id, CAST(p_retailprice AS DOUBLE) AS x FROM part WHERE p_partkey % 10 <> 3)
-  FULL JOIN (SELECT p_partkey AS transcript_id, CAST(p_retailprice AS DOUBLE) * 1.25::DOUBLE AS y FROM part WHERE p_partkey % 10 <> 7) USING (transcript_id)"""),
+    ("quant", """SELECT transcript_id, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT CASE WHEN p_partkey % 10 = 3 THEN -p_partkey ELSE p_partkey END AS transcript_id, CAST(p_retailprice AS DOUBLE) AS x FROM part)
+  FULL JOIN (SELECT CASE WHEN p_partkey % 10 = 7 THEN -p_partkey ELSE p_partkey END AS transcript_id, CAST(p_retailprice AS DOUBLE) * 1.25::DOUBLE AS y FROM part) USING (transcript_id)"""),
 ]
 
 REGION = "chrom = 'view' AND s < 60000 AND e > 20000"
@@ -97,13 +99,13 @@ FINAL: dict[str, str] = {
   FROM reads, (SELECT count(*) AS n, sum(CASE WHEN mate_pos >= pos THEN mate_pos - pos ELSE 0 END)::DOUBLE / count(*) AS m FROM reads) c WHERE mate_chrom = chrom)""",
     "long_fragment_share": "SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE mate_pos - pos > 5000) / count(*), 6) AS percent FROM reads",
     "mate_pairs": "SELECT * FROM pairs",
-    "unmatched_reads": """SELECT a.line_no, a.qname FROM reads a WHERE a.mate_pos IS NOT NULL AND a.line_no % 19 <> 3 AND NOT EXISTS (SELECT 1 FROM reads b WHERE b.qname = a.qname
-  AND b.line_no <> a.line_no AND b.line_no % 19 <> 3 AND b.pos = a.mate_pos AND b.mate_pos = a.pos)""",
+    "unmatched_reads": """WITH u AS (SELECT * REPLACE (CASE WHEN line_no % 19 = 3 THEN qname || 'x' ELSE qname END AS qname) FROM reads)
+  SELECT a.line_no, a.qname FROM u a WHERE a.mate_pos IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u b WHERE b.qname = a.qname AND b.line_no <> a.line_no AND b.pos = a.mate_pos AND b.mate_pos = a.pos)""",
     "diff_strand_pairs": """SELECT * FROM (SELECT line_a, line_b, CASE WHEN line_a % 6 = 1 THEN '-' ELSE a.strand END AS strand_a, CASE WHEN line_b % 6 = 1 THEN '-' ELSE b.strand END AS strand_b
   FROM pairs JOIN reads a ON a.line_no = line_a JOIN reads b ON b.line_no = line_b) WHERE strand_a <> strand_b""",
     "infer_xs": """SELECT r.line_no, CASE WHEN r.line_no % 2 = 0 THEN r.strand ELSE m.strand END AS strand FROM reads r LEFT JOIN pairs ON line_b = r.line_no LEFT JOIN reads m ON m.line_no = line_a""",
     "enumerate_pairs": """WITH l AS (SELECT 'g' || (line_no // 6) AS g, line_no, pos, mate_pos FROM reads WHERE mate_pos IS NOT NULL AND line_no % 2 = 0),
-  r AS (SELECT 'g' || (line_no // 6) AS g, line_no, pos, mate_pos FROM reads WHERE mate_pos IS NOT NULL AND line_no % 2 = 1 AND line_no % 5 <> 1),
+  r AS (SELECT CASE WHEN line_no % 10 = 1 THEN 'h' || line_no ELSE 'g' || (line_no // 6) END AS g, line_no, pos, mate_pos FROM reads WHERE mate_pos IS NOT NULL AND line_no % 2 = 1),
   x AS (SELECT l.g, na, nb, lp = rp AS one FROM (SELECT g, count(*) AS na, list([pos, mate_pos] ORDER BY pos, mate_pos) AS lp FROM l GROUP BY g) l
     JOIN (SELECT g, count(*) AS nb, list([mate_pos, pos] ORDER BY mate_pos, pos) AS rp FROM r GROUP BY g) r USING (g))
   SELECT g AS qname, l.line_no AS line_a, CAST(NULL AS BIGINT) AS line_b, na AS nh FROM l JOIN x USING (g) WHERE one
@@ -123,9 +125,9 @@ FINAL: dict[str, str] = {
     "subexon_prefix": "SELECT *, CAST(coalesce(sum(e - s) OVER (PARTITION BY chrom, bundle_id ORDER BY subexon_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM sub",
     "read_subexons": "SELECT line_no, subexon_id, CAST(sum(e - s) AS BIGINT) AS covered FROM inc GROUP BY line_no, subexon_id",
     "read_paths": "SELECT line_no, bundle_id, array_to_string(path, ',') AS path FROM rpath JOIN rows_ USING (line_no)",
-    "fragment_paths": "SELECT frag, line_b, chrom, bundle_id, p AS path, strand, nh FROM within",
+    "fragment_paths": "SELECT frag, line_b, chrom, bundle_id, p AS path, strand, nh FROM whole WHERE NOT crossing",
     "cross_bundle_pairs": "SELECT line_a, line_b, bundle_id, bundle_id_b, array_to_string(path_a, ',') AS path_a, array_to_string(path_b, ',') AS path_b FROM frags WHERE crossing",
-    "bucket_sizes": "SELECT chrom, bundle_id, p AS path, strand, nh, count(*) FILTER (WHERE line_b IS NULL) AS n_unpaired, count(*) FILTER (WHERE line_b IS NOT NULL) AS n_paired FROM within GROUP BY ALL",
+    "bucket_sizes": "SELECT chrom, bundle_id, p AS path, strand, nh, count(*) FILTER (WHERE line_b IS NULL) AS n_unpaired, count(*) FILTER (WHERE line_b IS NOT NULL) AS n_paired FROM whole WHERE NOT crossing GROUP BY ALL",
     "cross_buckets": "SELECT chrom, bundle_id, array_to_string(path_a, ',') AS path_a, bundle_id_b, array_to_string(path_b, ',') AS path_b, strand, nh, count(*) AS n FROM frags WHERE crossing GROUP BY ALL",
     "bucket_unpaired_lens": "SELECT * FROM hist WHERE kind = 'unpaired'",
     "bucket_paired_lens": "SELECT * FROM hist WHERE kind = 'paired'",
@@ -133,11 +135,34 @@ FINAL: dict[str, str] = {
     "bucket_coverage_rle": """WITH c AS (SELECT chrom, bundle_id, p, strand, nh, spot, sum(w) AS w FROM (SELECT chrom, bundle_id, p, strand, nh, unnest([s, e]) AS spot, unnest([1, -1]) AS w FROM loc) GROUP BY ALL HAVING sum(w) <> 0),
   r AS (SELECT chrom, bundle_id, p AS path, strand, nh, spot AS s, lead(spot) OVER w AS e, sum(w) OVER w AS v FROM c WINDOW w AS (PARTITION BY chrom, bundle_id, p, strand, nh ORDER BY spot))
   SELECT chrom, bundle_id, path, strand, nh, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(v AS BIGINT) AS v FROM r WHERE e IS NOT NULL AND v > 0""",
+    "bucket_elements": "SELECT DISTINCT chrom, bundle_id, p AS path, strand, nh, k, subexon_id, eb AS bundle_e, s, e, CAST(off AS BIGINT) AS off, CAST(total AS BIGINT) AS total FROM el",
+    "buckets_in_range": f"SELECT DISTINCT chrom, bundle_id, p AS path, strand, nh FROM el WHERE {REGION}",
+    "coverage_from_buckets": "SELECT chrom, s, e, round(v, 6) AS v FROM depth",
+    "longest_read_of_bundle": "SELECT chrom, bundle_id, CAST(max(span.len) AS BIGINT) AS longest FROM rows_ JOIN span USING (line_no) GROUP BY chrom, bundle_id",
+    "duplicate_reads": "SELECT chrom, bundle_id, s, own_e AS e, count(*) AS n FROM rows_ GROUP BY ALL",
     "coverage_segments": "SELECT chrom, s, e, round(v, 6) AS v FROM depth",
     "coverage_region": f"SELECT greatest(s, 20000) AS s, least(e, 60000) AS e, round(v, 6) AS v FROM depth WHERE {REGION}",
     "coverage_dense_region": "SELECT i, round(coalesce(v, 0), 6) AS v FROM range(2000) t(i) LEFT JOIN (SELECT * FROM depth WHERE chrom = 'view') ON s <= 20000 + i AND e > 20000 + i",
     "coverage_point": "SELECT chrom, round(v, 6) AS v FROM depth WHERE s <= 20300 AND e > 20300",
     "coverage_range_sum": f"SELECT round(sum((least(e, 60000) - greatest(s, 20000)) * v), 6) AS total, CAST(sum(least(e, 60000) - greatest(s, 20000)) AS BIGINT) AS covered FROM depth WHERE {REGION}",
+    "rebuilt_coverage": "@bucket_coverage_rle",
+    "sam_text_records": "SELECT qname, flag, rname, pos, cigar, rnext, pnext, concat_ws(chr(9), 'NH:i:' || nh, 'XS:A:' || strand, CASE WHEN mate_pos IS NULL THEN 'YT:Z:UP' END) AS tags FROM records",
+    "sam_text_reads": """SELECT qname, rname AS chrom, pos, cigar, CASE WHEN rnext = '=' AND flag & 8 = 0 THEN rname END AS mate_chrom, CASE WHEN rnext = '=' AND flag & 8 = 0 THEN pnext END AS mate_pos, strand, nh
+  FROM records WHERE rname <> '*' AND flag & 4 = 0""",
+    "sam_text_header": "@store_chroms",
+    "store_chroms": """SELECT chrom, chrom_len, CAST(row_number() OVER (ORDER BY chrom) - 1 AS BIGINT) AS ord FROM (SELECT DISTINCT event_type AS chrom, (SELECT max(user_id) + 1 FROM events) * 1000 + 25000 AS chrom_len FROM events)""",
+    "gtf_text_exons": "SELECT CAST(transcript_id AS VARCHAR) AS transcript_id, chrom, CAST(exon AS INTEGER) AS exon, s, e FROM annot",
+    "gtf_text_quantities": "SELECT DISTINCT CAST(transcript_id AS VARCHAR) AS transcript_id, round(transcript_id * 0.25::DOUBLE, 6) AS fpkm FROM annot",
+    "profile_bounds": "SELECT DISTINCT chrom, s + 10 AS s, e + 10 AS e, 'CDS' AS kind FROM annot",
+    "log_peak": "SELECT max(event_id * 7919 % 10007) AS peak FROM events",
+    "store_bundles": "@bundles_in_range",
+    "store_coverage": "@coverage_region",
+    "store_exon_counts": "@exon_counts",
+    "store_junction_counts": "@junction_counts",
+    "store_pairs_in_region": "@pairs_in_region",
+    "store_sam_lines": "@sam_lines",
+    "store_decompress": """WITH c AS (SELECT chrom, spot, sum(w) AS w FROM (SELECT chrom, unnest([blk.s, blk.e]) AS spot, unnest([1, -1]) AS w FROM blk JOIN reads USING (line_no)) GROUP BY ALL HAVING sum(w) <> 0),
+  r AS (SELECT chrom, spot AS s, lead(spot) OVER w AS e, sum(w) OVER w AS v FROM c WINDOW w AS (PARTITION BY chrom ORDER BY spot)) SELECT chrom, s, e, CAST(v AS DOUBLE) AS v FROM r WHERE e IS NOT NULL AND v > 0""",
     "run_length_vectors": """WITH d AS (SELECT p_partkey, list_transform(range(12), lambda i: (p_partkey + i * i) % 5) AS x FROM part)
   SELECT p_partkey, CAST(1 + len(list_filter(range(2, 13), lambda i: x[i] <> x[i - 1])) AS BIGINT) AS runs, array_to_string(x, ',') AS dense, x[8] AS at7,
   CAST(list_sum(x[4:8]) AS BIGINT) AS sum38, array_to_string(list_concat(x[1:3], list_transform(x[4:8], lambda v: v + 2), x[9:12]), ',') AS added FROM d""",
@@ -147,13 +172,19 @@ FINAL: dict[str, str] = {
     "gtf_exons": "SELECT DISTINCT chrom, s, e FROM annot",
     "gtf_junctions": "SELECT * FROM juncs",
     "exon_counts": """WITH mean AS (SELECT chrom, bundle_id, p, strand, nh, avg(len) AS m FROM lens WHERE kind <> 'paired' GROUP BY ALL),
-  tagged AS (SELECT unnest([line_a, line_b]) AS line_no, w.nh, m FROM within w JOIN mean ON mean.chrom = w.chrom AND mean.bundle_id = w.bundle_id AND mean.p = w.p AND mean.strand IS NOT DISTINCT FROM w.strand AND mean.nh = w.nh)
+  tagged AS (SELECT unnest([line_a, line_b]) AS line_no, w.nh, m FROM whole w JOIN mean ON mean.chrom = w.chrom AND mean.bundle_id = w.bundle_id AND mean.p = w.p AND mean.strand IS NOT DISTINCT FROM w.strand AND mean.nh = w.nh)
   SELECT x.chrom, x.s, x.e, round(sum((least(x.e, blk.e) - greatest(x.s, blk.s)) / (m * t.nh)), 6) AS x FROM tagged t JOIN blk USING (line_no) JOIN reads USING (line_no)
   JOIN (SELECT DISTINCT chrom, s, e FROM annot) x ON x.chrom = reads.chrom AND x.s < blk.e AND x.e > blk.s GROUP BY x.chrom, x.s, x.e""",
-    "junction_counts": """WITH g AS (SELECT chrom, bundle_id, p, strand, nh, k, count(*) FILTER (WHERE ends) AS l, count(*) FILTER (WHERE starts) AS f FROM loc GROUP BY ALL),
-  q AS (SELECT g.*, sub.s, sub.e FROM g JOIN sub ON sub.chrom = g.chrom AND sub.bundle_id = g.bundle_id AND sub.subexon_id = CAST(string_split(p, ',')[k + 1] AS INTEGER))
-  SELECT a.chrom, a.e AS s, b.s AS e, round(sum(least(a.l, b.f) / a.nh::DOUBLE), 6) AS x FROM q a JOIN q b ON a.chrom = b.chrom AND a.bundle_id = b.bundle_id AND a.p = b.p AND a.strand IS NOT DISTINCT FROM b.strand
-  AND a.nh = b.nh AND b.k = a.k + 1 JOIN juncs j ON j.chrom = a.chrom AND j.s = a.e AND j.e = b.s GROUP BY ALL HAVING sum(least(a.l, b.f)) > 0""",
+    "junction_counts": """WITH g AS (SELECT chrom, bundle_id, p, strand, nh, k, any_value(es) AS s, any_value(ee) AS e, count(*) FILTER (WHERE ends) AS l, count(*) FILTER (WHERE starts) AS f FROM loc GROUP BY ALL)
+  SELECT a.chrom, a.e AS s, b.s AS e, round(sum(least(a.l, b.f) / a.nh::DOUBLE), 6) AS x FROM g a JOIN g b ON a.chrom = b.chrom AND a.bundle_id = b.bundle_id AND a.p = b.p AND a.strand IS NOT DISTINCT FROM b.strand
+  AND a.nh = b.nh AND b.k = a.k + 1 JOIN juncs j ON j.chrom = a.chrom AND j.s = a.e AND j.e = b.s GROUP BY a.chrom, a.e, b.s HAVING sum(least(a.l, b.f)) > 0""",
+    "tophat_records": """SELECT r.qname, r.flag, r.rname, r.pos, r.rnext, r.pnext, concat_ws(chr(9), 'NH:i:' || r.nh, 'XS:A:' || r.strand, CASE WHEN r.mate_pos IS NULL THEN 'YT:Z:UP' END) AS tags FROM records r""",
+    "hisat_records": """WITH x AS (SELECT * REPLACE ('g' || (line_no // 6) AS qname), line_no % 2 AS side, concat_ws(chr(9), 'NH:i:' || nh, 'XS:A:' || strand) AS tags0, 'XS:A:' || strand AS rest FROM records WHERE NOT (rname = '*' AND pos = 0)),
+  l AS (SELECT qname, count(*) AS na, list([pos, pnext] ORDER BY pos, pnext) AS lp FROM x WHERE side = 0 GROUP BY qname), r AS (SELECT qname, count(*) AS nb, list([pnext, pos] ORDER BY pnext, pos) AS rp FROM x WHERE side = 1 GROUP BY qname),
+  n AS (SELECT qname, na, nb, lp = rp AS one FROM l JOIN r USING (qname)),
+  y AS (SELECT x.qname, flag, rname, pos, rnext, pnext, strand, CASE WHEN one THEN concat_ws(chr(9), 'NH:i:' || (CASE WHEN side = 0 THEN na ELSE nb END), rest) ELSE tags0 END AS tags, coalesce(one, false) AS one FROM x LEFT JOIN n USING (qname) WHERE one IS NULL OR one
+    UNION ALL SELECT a.qname, a.flag, a.rname, a.pos, CASE WHEN a.rname = b.rname THEN '=' ELSE b.rname END, b.pos, a.strand, concat_ws(chr(9), 'NH:i:' || na * nb, 'XS:A:' || coalesce(a.strand, b.strand)), NULL FROM x a JOIN x b ON a.qname = b.qname AND a.side <> b.side JOIN n ON n.qname = a.qname WHERE NOT n.one)
+  SELECT qname, flag, rname, pos, rnext, pnext, tags FROM y""",
     "blocks_to_cigar": "SELECT line_no, string_agg(coalesce(CAST(s - before AS VARCHAR) || 'N', '') || CAST(e - s AS VARCHAR) || 'M', '' ORDER BY s) AS cigar FROM (SELECT *, lag(e) OVER (PARTITION BY line_no ORDER BY s) AS before FROM blk) GROUP BY line_no",
     "sam_lines": """WITH c AS (SELECT line_no, string_agg(coalesce(CAST(s - before AS VARCHAR) || 'N', '') || CAST(e - s AS VARCHAR) || 'M', '' ORDER BY s) AS cigar FROM (SELECT *, lag(e) OVER (PARTITION BY line_no ORDER BY s) AS before FROM blk) GROUP BY line_no),
   x AS (SELECT frag, f.chrom, f.strand, f.nh, line_b IS NOT NULL AS paired, a.s AS sa, b.s AS sb, greatest(a.e, b.e) - a.s AS t, ca.cigar AS ca, cb.cigar AS cb
@@ -174,8 +205,9 @@ def oracle_sql() -> dict[str, str]:
     """Each query's SQL with the steps of the prelude up to the last that it needs."""
     out = {}
     for name, final in FINAL.items():
+        final = FINAL[final[1:]] if final.startswith("@") else final
         own = final[len("WITH ") :] if final.startswith("WITH ") else None
-        heads = ",\n".join(f"{n} AS MATERIALIZED ({q})" if n in ("rows_", "blk", "sub", "inc", "rpath", "pairs", "frags", "loc") else f"{n} AS ({q})" for n, q in _needed(final))
+        heads = ",\n".join(f"{n} AS MATERIALIZED ({q})" if n in ("rows_", "blk", "sub", "inc", "rpath", "pairs", "frags", "loc", "el") else f"{n} AS ({q})" for n, q in _needed(final))
         out[name] = f"WITH {heads}{', ' + own if own and heads else ''}{own if own and not heads else ''}{'' if own else chr(10) + final}" if heads or own else final
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,10 @@ from ..functions import records as R
 from ..functions import runs as V
 from ..operators import buckets, bundles, counts, coverage, evaluate, intervals, pairing, preprocess, reconstruct, sinks
 from ..sources import fixtures as X
-from .context import steps
-from .tables import held
+from ..sources import text as T
+from .context import annotated_steps, known, steps
+from .engine import Store, ingest
+from .tables import folder, held
 
 #: The range of the region queries (fixed values).
 CHROM, START, END = "view", 20000, 60000
@@ -111,7 +114,7 @@ def mate_pairs(s, d):
 
 @query
 def unmatched_reads(s, d):
-    reads = X.reads(s, d).where("line_no % 19 <> 3")
+    reads = X.reads(s, d).withColumn("qname", F.expr("case when line_no % 19 = 3 then concat(qname, 'x') else qname end"))
     return pairing.unmatched(reads, pairing.mate_pairs(reads)).select("line_no", "qname")
 
 
@@ -129,8 +132,8 @@ def infer_xs(s, d):
 
 @query
 def enumerate_pairs(s, d):
-    reads = X.reads(s, d).where("mate_pos is not null").withColumn("qname", F.expr("concat('g', line_no div 6)"))
-    left, right = reads.where("line_no % 2 = 0"), reads.where("line_no % 2 = 1 and line_no % 5 <> 1")
+    reads = X.reads(s, d).where("mate_pos is not null").withColumn("qname", F.expr("case when line_no % 10 = 1 then concat('h', line_no) else concat('g', line_no div 6) end"))
+    left, right = reads.where("line_no % 2 = 0"), reads.where("line_no % 2 = 1")
     return pairing.enumerated(left, right)
 
 
@@ -176,8 +179,7 @@ def breakpoints(s, d):
 
 @query
 def breakpoints_annotated(s, d):
-    points = X.annotation(s, d).select("chrom", F.explode(F.array("s", "e")).alias("p"))
-    return steps(s, d, points=points).breakpoints
+    return annotated_steps(s, d).breakpoints
 
 
 @query
@@ -212,16 +214,22 @@ def cross_bundle_pairs(s, d):
 
 @query
 def bucket_sizes(s, d):
-    return buckets.buckets(steps(s, d).fragments).select("chrom", "bundle_id", path("path"), "strand", "nh", "n_unpaired", "n_paired")
+    return steps(s, d).buckets.where("not cross").select("chrom", "bundle_id", path("path"), "strand", "nh", "n_unpaired", "n_paired")
 
 
 @query
 def cross_buckets(s, d):
-    return buckets.cross_buckets(steps(s, d).fragments).select("chrom", "bundle_id", path("path_a"), "bundle_id_b", path("path_b"), "strand", "nh", "n")
+    return steps(s, d).buckets.where("cross").select("chrom", "bundle_id", path("path_a"), "bundle_id_b", path("path_b"), "strand", "nh", F.col("n_paired").alias("n"))
+
+
+def _named(x, rows: DataFrame) -> DataFrame:
+    """Rows of buckets with the bucket's path, strand and NH; pairs between bundles are buckets, too."""
+    return rows.join(x.buckets.select(*buckets.ID, buckets.label().alias("path"), "strand", "nh"), buckets.ID)
 
 
 def _lengths(s, d, *kinds):
-    return steps(s, d).lengths.where(F.col("kind").isin(*kinds)).select("chrom", "bundle_id", path("path"), "strand", "nh", "kind", "len", "freq")
+    x = steps(s, d)
+    return _named(x, x.lengths.where(F.col("kind").isin(*kinds))).select("chrom", "bundle_id", "path", "strand", "nh", "kind", "len", "freq")
 
 
 @query
@@ -241,7 +249,39 @@ def bucket_left_right_lens(s, d):
 
 @query
 def bucket_coverage_rle(s, d):
-    return buckets.bucket_coverage(steps(s, d).local).select("chrom", "bundle_id", path("path"), "strand", "nh", "s", "e", "v")
+    x = steps(s, d)
+    return _named(x, x.cover).select("chrom", "bundle_id", "path", "strand", "nh", "s", "e", "v")
+
+
+@query
+def bucket_elements(s, d):
+    x = steps(s, d)
+    return _named(x, x.elements.drop("nh")).select("chrom", "bundle_id", "path", "strand", "nh", "k", "subexon_id", "bundle_e", "s", "e", "off", "total")
+
+
+@query
+def buckets_in_range(s, d):
+    """Buckets with a subexon in the range, those of pairs between bundles by either of their bundles."""
+    x = steps(s, d)
+    return _named(x, buckets.relevant(x.elements, CHROM, START, END)).select("chrom", "bundle_id", "path", "strand", "nh")
+
+
+@query
+def coverage_from_buckets(s, d):
+    """The depth of all reads, from buckets' runs of coverage alone."""
+    x = steps(s, d)
+    runs = buckets.lifted_coverage(x.cover, x.elements).select(F.col("chrom_e").alias("chrom"), "s", "e", "v", "nh")
+    return coverage.segments(runs, weight="cast(v as double) / nh", hold=held).select("chrom", "s", "e", rounded("v"))
+
+
+@query
+def longest_read_of_bundle(s, d):
+    return buckets.longest_reads(steps(s, d).rows)
+
+
+@query
+def duplicate_reads(s, d):
+    return buckets.collapsed(steps(s, d).rows)
 
 
 def _segments(s, d):
@@ -262,7 +302,8 @@ def coverage_region(s, d):
 @query
 def coverage_dense_region(s, d):
     runs = intervals.in_range(_segments(s, d), CHROM, START, START + 2000)
-    return coverage.dense(runs, START, START + 2000).select(F.posexplode("cov").alias("i", "v")).select(F.col("i").cast("long").alias("i"), rounded("v"))
+    vectors = coverage.dense(runs, START, START + 2000, block=300).select("s", F.posexplode("cov").alias("i", "v"))
+    return vectors.select((F.col("s") - START + F.col("i")).alias("i"), rounded("v"))
 
 
 @query
@@ -301,7 +342,7 @@ def reads_in_region(s, d):
 @query
 def pairs_in_region(s, d):
     x = steps(s, d)
-    met = pairing.joined(x.pairs, bundles.with_blocks(x.reads).where(F.col("chrom") == CHROM), ["chrom", "blocks"])
+    met = pairing.joined(x.pairs, bundles.filled(x.reads).where(F.col("chrom") == CHROM), ["chrom", "blocks"])
     hit = lambda c: C.overlaps(F.col(c), F.lit(START), F.lit(END))
     return met.where(hit("blocks_a") | hit("blocks_b")).select("line_a", "line_b")
 
@@ -319,13 +360,13 @@ def gtf_junctions(s, d):
 @query
 def exon_counts(s, d):
     x = steps(s, d)
-    return counts.exon_counts(x.fragments, x.rows, x.lengths, counts.exons(X.annotation(s, d))).select("chrom", "s", "e", rounded("x"))
+    return counts.exon_counts(x.cover, x.elements, x.lengths, counts.exons(X.annotation(s, d))).select("chrom", "s", "e", rounded("x"))
 
 
 @query
 def junction_counts(s, d):
     x = steps(s, d)
-    return counts.junction_counts(x.local, x.subexons, counts.junctions(X.annotation(s, d))).select("chrom", "s", "e", rounded("x"))
+    return counts.junction_counts(x.cover, x.elements, counts.junctions(X.annotation(s, d))).select("chrom", "s", "e", rounded("x"))
 
 
 @query
@@ -333,16 +374,21 @@ def blocks_to_cigar(s, d):
     return bundles.with_blocks(X.reads(s, d)).select("line_no", C.to_cigar(F.col("blocks")).alias("cigar"))
 
 
+def _placed(s, d):
+    """All fragments with the records' blocks: pairs, and the records without a mate. Neither bundles nor paths are needed."""
+    x = steps(s, d)
+    rows = held(bundles.filled(x.reads).select("line_no", "chrom", "blocks", "strand", "nh"))
+    return pairing.placed_fragments(x.pairs, rows)
+
+
 @query
 def sam_lines(s, d):
-    x = steps(s, d)
-    return sinks.sam_lines(x.fragments, x.rows).select("frag", "side", "line")
+    return sinks.sam_lines(_placed(s, d)).select("frag", "side", "line")
 
 
 @query
 def force_xs(s, d):
-    x = steps(s, d)
-    return sinks.sam_lines(x.fragments, x.rows, force_strand=True).where("side = 'a'").select("frag", F.regexp_extract("line", "XS:A:(.)", 1).alias("strand"))
+    return sinks.sam_lines(_placed(s, d), force_strand=True).where("side = 'a'").select("frag", F.regexp_extract("line", "XS:A:(.)", 1).alias("strand"))
 
 
 @query
@@ -370,11 +416,149 @@ def quant_rmse(s, d):
     return evaluate.rmse(evaluate.matched(X.quantified(s, d, 3, 1.0), X.quantified(s, d, 7, 1.25))).select(rounded("rmse"), rounded("corr"))
 
 
+@query
+def tophat_records(s, d):
+    return preprocess.tophat(X.records(s, d)).select("qname", "flag", "rname", "pos", "rnext", "pnext", "tags")
+
+
+@query
+def hisat_records(s, d):
+    names = X.records(s, d).withColumn("qname", F.expr("concat('g', line_no div 6)"))
+    return preprocess.hisat(names, hold=held).select("qname", "flag", "rname", "pos", "rnext", "pnext", "tags")
+
+
+def _rebuilt(s, d):
+    x = steps(s, d)
+    return _named(x, reconstruct.rebuilt(x.elements, x.cover, x.lengths))
+
+
 @query
 def reconstruct_reads(s, d):
-    return reconstruct.rebuilt(steps(s, d)).where("kind = 'unpaired'").select("chrom", "bundle_id", path("path"), "strand", "nh", "n", "s", "e")
+    return _rebuilt(s, d).where("kind = 'unpaired'").select("chrom", "bundle_id", "path", "strand", "nh", "n", "s", "e")
 
 
 @query
 def reconstruct_pairs(s, d):
-    return reconstruct.rebuilt(steps(s, d)).where("kind = 'paired'").select("chrom", "bundle_id", path("path"), "strand", "nh", "n", "s", "e", "s_b", "e_b")
+    return _rebuilt(s, d).where("kind = 'paired'").select("chrom", "bundle_id", "path", "strand", "nh", "n", "s", "e", "s_b", "e_b")
+
+
+@query
+def rebuilt_coverage(s, d):
+    """The depth of the rebuilt reads by bucket: that of the reads they were rebuilt from."""
+    x = steps(s, d)
+    sides = F.array(F.struct(F.col("s"), F.col("e")), F.struct(F.col("s_b").alias("s"), F.col("e_b").alias("e")))
+    spans = reconstruct.rebuilt(x.elements, x.cover, x.lengths).select(*buckets.ID, F.inline(sides)).where("s is not null")
+    return _named(x, buckets.bucket_coverage(spans)).select("chrom", "bundle_id", "path", "strand", "nh", "s", "e", "v")
+
+
+def _written(s, lines: DataFrame) -> str:
+    """Lines of text in a file of the shared folder."""
+    path = f"{folder(s)}/text/{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+@query
+def sam_text_records(s, d):
+    """Records written as alignment text and read back."""
+    fixed = [F.col(c).cast("string") for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen")]
+    lines = X.records(s, d).select(F.concat_ws("\t", *fixed, F.lit("*"), F.lit("*"), "tags").alias("line"))
+    head = s.range(1).select(F.lit("@HD\tVN:1.0").alias("line"))
+    return T.sam_records(s, _written(s, head.union(lines))).select("qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "tags")
+
+
+@query
+def sam_text_reads(s, d):
+    """Mapped records of alignment text as reads."""
+    fixed = [F.col(c).cast("string") for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen")]
+    lines = X.records(s, d).select(F.concat_ws("\t", *fixed, F.lit("*"), F.lit("*"), "tags").alias("line"))
+    return T.reads_of(T.sam_records(s, _written(s, lines))).select("qname", "chrom", "pos", "cigar", "mate_chrom", "mate_pos", "strand", "nh")
+
+
+@query
+def sam_text_header(s, d):
+    return T.sam_header(s, _written(s, sinks.header_lines(X.chromosomes(s, d)).coalesce(1).sortWithinPartitions("ord").select("line"))).select("chrom", "chrom_len", F.col("ord").cast("long").alias("ord"))
+
+
+def _gtf(s, d):
+    line = lambda feature, s, e, attributes: F.concat_ws("\t", "chrom", F.lit("x"), F.lit(feature), s, e, F.lit("."), F.lit("+"), F.lit("."), attributes).alias("line")
+    name = F.concat(F.lit('gene_id "g"; transcript_id "'), "transcript_id", F.lit('";'))
+    exons = X.annotation(s, d).select(line("exon", F.col("s").cast("string"), (F.col("e") - 1).cast("string"), name))
+    whole = X.annotation(s, d).groupBy("transcript_id", "chrom").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    whole = whole.select(line("transcript", F.col("s").cast("string"), F.col("e").cast("string"), F.concat(name, F.lit(' FPKM "'), (F.col("transcript_id") * 0.25).cast("string"), F.lit('";'))))
+    return T.gtf(s, _written(s, exons.union(whole)))
+
+
+@query
+def gtf_text_exons(s, d):
+    return T.gtf_exons(_gtf(s, d)).select("transcript_id", "chrom", F.col("exon").cast("int").alias("exon"), "s", "e")
+
+
+@query
+def gtf_text_quantities(s, d):
+    return T.gtf_quantities(_gtf(s, d)).select("transcript_id", rounded("fpkm"))
+
+
+@query
+def profile_bounds(s, d):
+    lines = X.annotation(s, d).select(F.concat_ws("\t", F.concat("chrom", F.lit(":"), F.col("s") + 10, F.lit("-"), F.col("e") + 10, F.lit("W")), "transcript_id", F.lit("CDS"), F.lit("1"), F.lit("2")))
+    return T.gene_bounds(s, _written(s, lines))
+
+
+@query
+def log_peak(s, d):
+    head = s.range(1).select(F.lit("PID A B C D E MEM F").alias("line"))
+    lines = s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("  1   2 3 4  5 6 "), (F.col("event_id") * 7919 % 10007).cast("string"), F.lit(" x")))
+    return T.peak_memory(s, _written(s, head.union(lines)))
+
+
+def _store(s, d) -> Store:
+    """The derived alignments as a store, written once for an application."""
+    make = lambda: ingest(X.reads(s, d), X.chromosomes(s, d), f"{folder(s)}/stores/{uuid.uuid4().hex}", steps=steps(s, d))
+    return known(s, d, "store", make)
+
+
+@query
+def store_chroms(s, d):
+    return _store(s, d).chroms().select("chrom", "chrom_len", F.col("ord").cast("long").alias("ord"))
+
+
+@query
+def store_bundles(s, d):
+    return _store(s, d).bundles(CHROM, START, END).withColumn("chrom", F.lit(CHROM)).select("chrom", "s", "e")
+
+
+@query
+def store_coverage(s, d):
+    return _store(s, d).coverage(CHROM, START, END).select("s", "e", rounded("v"))
+
+
+@query
+def store_exon_counts(s, d):
+    return _store(s, d).counts(X.annotation(s, d))[0].select("chrom", "s", "e", rounded("x"))
+
+
+@query
+def store_junction_counts(s, d):
+    return _store(s, d).counts(X.annotation(s, d))[1].select("chrom", "s", "e", rounded("x"))
+
+
+@query
+def store_pairs_in_region(s, d):
+    """Stored pairs of which a record has a block in the range."""
+    found = _store(s, d).reads(CHROM, START, END).where("line_b is not null")
+    return found.select(F.least("line_a", "line_b").alias("line_a"), F.greatest("line_a", "line_b").alias("line_b"))
+
+
+@query
+def store_sam_lines(s, d):
+    return sinks.sam_lines(_store(s, d).placed()).select("frag", "side", "line")
+
+
+@query
+def store_decompress(s, d):
+    """Depth of all fragments rebuilt from the store, without NH, in genomic places: that of the records."""
+    back = _store(s, d).decompress()
+    sides = F.array(F.struct(F.col("ca").alias("chrom"), F.col("ba").alias("b")), F.struct(F.col("cb").alias("chrom"), F.col("bb").alias("b")))
+    blocks = back.select(F.inline(sides)).where("chrom is not null").select("chrom", F.lit(1).alias("nh"), F.inline("b"))
+    return coverage.segments(blocks, hold=held).select("chrom", "s", "e", rounded("v"))

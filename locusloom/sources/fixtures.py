@@ -74,6 +74,8 @@ def other_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", F.expr("s + transcript_id % 5")).withColumn("e", F.expr("e - transcript_id % 3"))
 
 
-def quantified(spark: SparkSession, sf_dir: str, skip: int, factor: float) -> DataFrame:
+def quantified(spark: SparkSession, sf_dir: str, other: int, factor: float) -> DataFrame:
+    """A quantity for each part; those of keys that end in ``other`` have names of their own."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.where(f"p_partkey % 10 <> {skip}").select(F.col("p_partkey").alias("transcript_id"), (F.col("p_retailprice").cast("double") * factor).alias("fpkm"))
+    name = F.when(F.col("p_partkey") % 10 == other, -F.col("p_partkey")).otherwise(F.col("p_partkey"))
+    return part.select(name.alias("transcript_id"), (F.col("p_retailprice").cast("double") * factor).alias("fpkm"))
