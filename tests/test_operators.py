@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locusloom.operators import bundles, counts, coverage, evaluate, intervals, pairing, preprocess, reconstruct
@@ -51,7 +51,7 @@ def test_mates(spark):
 
 def test_null_cigar_takes_mates(spark):
     df = reads(spark, [("a", "c", 5, "*", "c", 5, None, 1), ("a", "c", 5, "4M2N4M", "c", 5, None, 1), ("b", "c", 9, "*", None, None, None, 1)])
-    got = {r["line_no"]: len(r["blocks"]) for r in bundles.with_blocks(bundles.fill_cigar(df)).collect()}
+    got = {r["line_no"]: len(r["blocks"]) for r in bundles.filled(bundles.parsed(df)).collect()}
     assert got == {0: 2, 1: 2}
 
 
@@ -123,24 +123,95 @@ def test_scores(spark):
     assert score(evaluate.overlap_scores(a, b)) == {"b": round(18 * 18 / (20 * 18), 6), "z": 0.5}
 
 
-def test_rebuild_exact():
-    one = np.zeros(100, np.int64)
-    one[10:86] = 1
-    assert reconstruct.rebuild(one, {76: 1}, {}, {}, {}, []) == ([(10, 86)], [])
-    two = np.zeros(300, np.int64)
-    two[5:81] += 1
-    two[200:276] += 1
-    assert reconstruct.rebuild(two, {}, {271: 1}, {76: 1}, {76: 1}, []) == ([], [((5, 81), (200, 276))])
+def runs_of(spans):
+    change = Counter()
+    for s, e in spans:
+        change[s] += 1
+        change[e] -= 1
+    at, depth, out = sorted(p for p, w in change.items() if w), 0, []
+    for a, b in zip(at, at[1:]):
+        depth += change[a]
+        if depth:
+            out.append((a, b, depth))
+    return out
 
 
-def test_rebuild_properties():
-    for seed in range(25):
+def test_rebuild_exact():
+    assert reconstruct.rebuild([(10, 86, 1)], {76: 1}, {}, {}, {}, []) == ([(10, 86)], [])
+    assert reconstruct.rebuild([(5, 81, 1), (200, 276, 1)], {}, {271: 1}, {76: 1}, {76: 1}, []) == ([], [((5, 81), (200, 276))])
+    assert reconstruct.rebuild([], {76: 1}, {}, {}, {}, []) == ([], []) and reconstruct.rebuild([(0, 9, 1)], {}, {}, {}, {}, []) == ([], [])
+    abutting = reconstruct.rebuild([(0, 228, 1)], {76: 3}, {}, {}, {}, [])
+    assert abutting == ([(0, 76), (76, 152), (152, 228)], [])
+    assert reconstruct.rebuild([(0, 152, 1)], {76: 2}, {}, {}, {}, [60], [60]) == ([(0, 60), (60, 152)], [])
+    assert reconstruct.rebuild([(0, 50, 2)], {50: 2}, {}, {}, {}, []) == ([(0, 50), (0, 50)], [])
+
+
+@pytest.mark.parametrize("inner", [[], [120, 300]])
+def test_rebuild_properties(inner):
+    """The coverage comes back exactly, with as many reads as the histograms have, and no more pairs than there were."""
+    counts = []
+    for seed in range(60):
         draw = random.Random(seed)
-        spans = [(s := draw.randint(0, 420), s + draw.randint(73, 79)) for _ in range(25)]
-        cov = np.zeros(500, np.int64)
-        for s, e in spans:
-            cov[s:e] += 1
-        single, pairs = reconstruct.rebuild(cov, dict(Counter(e - s for s, e in spans)), {200: 3}, {}, {}, [])
-        again = reconstruct.rebuild(cov, dict(Counter(e - s for s, e in spans)), {200: 3}, {}, {}, [])
-        assert (single, pairs) == again and len(pairs) <= 3
-        assert all(0 <= s < e <= 500 for s, e in [*single, *(x for p in pairs for x in p)])
+        spans = [(s := draw.randint(0, 420), s + draw.randint(73, 79)) for _ in range(draw.randint(1, 40))]
+        hist, paired = dict(Counter(e - s for s, e in spans)), {200: 3, 260: 2}
+        single, pairs = reconstruct.rebuild(runs_of(spans), hist, paired, {}, {}, inner)
+        assert (single, pairs) == reconstruct.rebuild(runs_of(spans), dict(reversed(hist.items())), paired, {}, {}, inner)
+        every = [*single, *(x for p in pairs for x in p)]
+        assert runs_of(every) == runs_of(spans) and len(pairs) <= 5 and all(0 <= s < e <= 500 for s, e in every)
+        counts.append(abs(len(every) - len(spans)))
+    assert sum(c > 0 for c in counts) <= 2 and max(counts) <= 2
+
+
+def test_rebuild_finds_planted_pairs():
+    """Mates that are far from others are found by their fragment's length."""
+    draw = random.Random(3)
+    starts = [k * 1000 for k in range(30)]
+    pairs = [((s, s + 76), (s + n - 76, s + n)) for s in starts for n in [draw.choice([200, 231, 270])]]
+    spans = [x for p in pairs for x in p]
+    got = reconstruct.rebuild(runs_of(spans), {}, dict(Counter(b[1] - a[0] for a, b in pairs)), {76: 30}, {76: 30}, [])
+    assert got == ([], sorted(pairs))
+
+
+def test_rebuild_of_deep_buckets():
+    """The cost follows distinct places, not reads."""
+    single, pairs = reconstruct.rebuild([(0, 76, 50_000), (100, 176, 50_000)], {}, {176: 50_000}, {76: 50_000}, {76: 50_000}, [])
+    assert not single and len(pairs) == 50_000 and set(pairs) == {((0, 76), (100, 176))}
+
+
+def test_unsorted_over_tiles(spark):
+    draw = random.Random(9)
+    rows = [(k, draw.choice("cd"), draw.randint(0, 50)) for k in range(300)]
+    want, last = set(), {}
+    for k, c, p in rows:
+        if p < last.get(c, p):
+            want.add(k)
+        last[c] = p
+    df = spark.createDataFrame(rows, "line_no bigint, rname string, pos bigint")
+    for tile in (7, 1 << 16):
+        assert {r["line_no"] for r in preprocess.unsorted(df, tile).collect()} == want
+
+
+def test_dense_blocks(spark):
+    runs = spark.createDataFrame([(3, 8, 1.5), (8, 20, 2.0), (41, 43, 0.5)], "s bigint, e bigint, v double")
+    want = [1.5 * (3 <= p < 8) + 2.0 * (8 <= p < 20) + 0.5 * (41 <= p < 43) for p in range(60)]
+    for block in (1, 7, 100):
+        for low, high in ((0, 60), (5, 42), (21, 30)):
+            got = coverage.dense(runs, low, high, block).orderBy("s").collect()
+            assert sum((r["cov"] for r in got), []) == want[low:high]
+    assert coverage.dense(runs.limit(0), 0, 5).first()["cov"] == [0.0] * 5
+
+
+def test_enumerated_records(spark):
+    """Two left and two right records of one name stand in four pairs; names that match one to one stay."""
+    kind = "line_no bigint, qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, tags string"
+    row = lambda i, name, flag, pos, mate, cigar="5M", tags="NH:i:1": (i, name, flag, "c", pos, 50, cigar, "=", mate, 0, tags)
+    rows = [row(0, "m", 64, 1, 9), row(1, "m", 64, 2, 9, "*"), row(2, "m", 128, 9, 1), row(3, "m", 128, 2, 1, "7M", "XS:A:+"), row(4, "o", 64, 1, 9, tags=""), row(5, "o", 128, 9, 1), row(6, "s", 0, 4, 0), row(7, "l", 64, 4, 0)]
+    got = pairing.enumerated_records(spark.createDataFrame(rows, kind)).collect()
+    assert len({r["line_no"] for r in got}) == len(got) == 12
+    many = sorted((r["flag"], r["pos"], r["pnext"], r["cigar"], r["tags"]) for r in got if r["qname"] == "m")
+    assert many == [
+        (64, 1, 2, "5M", "NH:i:4"), (64, 1, 9, "5M", "NH:i:4"), (64, 2, 2, "7M", "NH:i:4"), (64, 2, 9, "*", "NH:i:4"),
+        (128, 2, 1, "7M", "NH:i:4\tXS:A:+"), (128, 2, 2, "7M", "NH:i:4\tXS:A:+"), (128, 9, 1, "5M", "NH:i:4"), (128, 9, 2, "5M", "NH:i:4"),
+    ]
+    assert {(r["qname"], r["flag"], r["tags"]) for r in got if r["qname"] != "m"} == {("o", 64, "NH:i:1"), ("o", 128, "NH:i:1"), ("s", 0, "NH:i:1"), ("l", 64, "NH:i:1")}
+    assert [r["pos"] for r in preprocess.hisat(spark.createDataFrame(rows, kind)).collect()] == sorted(r["pos"] for r in got)

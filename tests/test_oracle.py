@@ -10,7 +10,7 @@ from locusloom.plans.oracle import oracle_sql
 from locusloom.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["cigar_blocks", "chrom_offsets", "frag_len_cutoff", "discordance_class", "bundle_ranges", "breakpoints_annotated", "read_paths", "bucket_coverage_rle", "coverage_segments", "exon_counts", "junction_counts", "sam_lines", "transcript_score_reciprocal"]
+NAMES = ["cigar_blocks", "chrom_offsets", "frag_len_cutoff", "discordance_class", "bundle_ranges", "breakpoints_annotated", "read_paths", "bucket_coverage_rle", "bucket_left_right_lens", "buckets_in_range", "coverage_segments", "coverage_from_buckets", "hisat_records", "rebuilt_coverage", "exon_counts", "junction_counts", "sam_lines", "transcript_score_reciprocal"]
 
 
 def plain(v):
