@@ -165,14 +165,12 @@ def fits(percent: int, na, nb, i, j):
     return (F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")) & (F.expr(f"least({na} - {i}, {nb} - {j})") >= least)
 
 
-def dealt(rows: DataFrame, sizes: DataFrame, seed: str) -> DataFrame:
-    """Rows of large buckets with ``part``: buckets of more than about ``PART`` vertices are dealt into parts, twice and differently,
-    so that the parts of one dealing tie those of the other together. Shingles of one of four kinds deal the same vertices alike."""
+def dealt(rows: DataFrame, seed: str) -> DataFrame:
+    """Rows of large buckets (token, vid, size, ...) twice, as ``deal`` 0 and 1, each in an order of its own: ``turn``. Buckets of more than
+    about ``PART`` vertices are dealt into parts, so that the parts of one deal tie those of the other together."""
     parts = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("size") / F.lit(PART), F.lit(1))))).cast("int")
-    kind = F.pmod("token", F.lit(4))
-    twice = join_side(rows, sizes, ["token"]).withColumn("parts", parts).withColumn("deal", F.explode(F.when(F.col("parts") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    spread = twice.withColumn("part", F.pmod(F.xxhash64("vid", kind, "deal", F.lit(seed)), F.col("parts")))
-    return spread.withColumn("turn", F.xxhash64("vid", kind, "deal", F.lit("turn" + seed)))
+    twice = rows.withColumn("deal", F.explode(F.array(F.lit(0), F.lit(1))))
+    return twice.withColumns({"part": F.pmod(F.xxhash64("vid", "deal", F.lit(seed)), parts), "turn": F.xxhash64("vid", "deal", F.lit("turn" + seed))})
 
 
 class Join:
@@ -221,12 +219,16 @@ class Join:
         return counts.where((F.col("fits") | (more > 0)) & (F.col("shared") + more + rest >= least)).select(F.col("vida").alias("a"), F.col("vidb").alias("b"))
 
     def first_pairs(self) -> DataFrame:
-        """A few partners for each vertex of a large bucket: in its part the three before it, and the first of all."""
-        rows = dealt(self.postings.where("many").drop("many"), self.sizes, "first")
+        """A few partners for each vertex of a large bucket, in its largest bucket and in the one it comes to first: in two deals, the two
+        before it in its part, and the first of all."""
+        rows = join_side(self.postings.where("many").drop("many"), self.sizes, ["token"])
+        own = F.struct("token", "n", "pos", "size")
+        picked = rows.groupBy("vid").agg(F.max_by(own, F.struct("size", "token")).alias("x"), F.min_by(own, F.struct("pos", "token")).alias("y"))
+        rows = dealt(picked.select("vid", F.inline(F.array_distinct(F.array("x", "y")))), "first")
         order = Window.partitionBy("token", "deal", "part").orderBy("turn", "vid")
-        own = F.struct("vid", "n", "pos")
-        partners = [F.lag(own, i).over(order) for i in (1, 2, 3)] + [F.first(own).over(order)]
-        rows = rows.select("vid", "n", "pos", F.array_compact(F.array(*partners)).alias("others"))
+        other = F.struct("vid", "n", "pos")
+        partners = F.array_distinct(F.array_compact(F.array(*(F.lag(other, i).over(order) for i in (1, 2)), F.first(other).over(order))))
+        rows = rows.select("vid", "n", "pos", partners.alias("others"))
         met = rows.select("vid", "n", "pos", F.explode("others").alias("o")).select("vid", "n", "pos", "o.*").toDF("vida", "na", "posa", "vidb", "nb", "posb")
         met = met.where((F.col("vida") != F.col("vidb")) & fits(self.percent, "na", "nb", "posa", "posb"))
         return met.select(F.least("vida", "vidb").alias("a"), F.greatest("vida", "vidb").alias("b")).distinct()
@@ -242,10 +244,7 @@ class Join:
 
     def far_pairs(self, rows: DataFrame) -> DataFrame:
         """More partners for those vertices of a large bucket that aren't in its largest component."""
-        sizes = rows.select("token", "size").distinct()
-        sizes = staged(sizes, "sizes")
-        self.spent.append(sizes)
-        rows = dealt(rows.drop("size"), sizes, "far")
+        rows = dealt(rows, "far")
         order = Window.partitionBy("token", "deal", "part").orderBy("turn", "vid")
         own = F.struct("vid", "n", "root")
         near = F.array_compact(F.array(*(F.lag(own, i).over(order) for i in (-4, -3, -2, -1, 1, 2, 3, 4))))
