@@ -36,10 +36,26 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts make Spark's default of 10000 rows an Arrow batch of tens of MB, held by JVM and Python; while a table is written,
+    a session that hasn't chosen otherwise has smaller ones. The session's setting is as it was afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    chosen = spark.conf.get(name)
+    if chosen == "10000":
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if chosen == "10000":
+            spark.conf.set(name, chosen)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete staged tables that no later step reads; what isn't a staged table stays."""
     for table in tables:
@@ -101,17 +117,23 @@ def join_side(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of a (doc_id, text) batch of about ``most`` bytes of text each, with their texts; null texts are empty."""
+def slices(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of a (doc_id, text, ...) batch of about ``most`` bytes of text each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
         part = batch.slice(at, min(end, batch.num_rows) - at)
-        yield part, [t or b"" for t in part.column(1).to_pylist()]
+        yield part
         at += part.num_rows
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """``slices`` with their texts; null texts are empty."""
+    for part in slices(batch):
+        yield part, [t or b"" for t in part.column(1).to_pylist()]
+
+
 #: In a Python worker: what its last task belonged to, and how to empty the tables that operators keep between tasks.
 _OWNER = [""]
 RELEASE: list[Callable[[], None]] = []

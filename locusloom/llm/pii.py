@@ -26,7 +26,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RELEASE, id_and_bytes, worker_of
+from .common import RELEASE, id_and_bytes, slices, worker_of
 
 ROUNDS = 8
 #: In UTF-8, by length: Latin letters beyond ASCII, marks on letters, full-width digits and letters. No value begins or ends beside
@@ -270,7 +270,7 @@ FIND = "array<struct<kind string, start bigint, end bigint>>"
 def pseudonym_batches(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterator[pa.RecordBatch]:
     worker_of("pii")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         texts = batch.column(1).to_pylist()
         found = [finds(t, key, back) if t else [] for t in texts]
         new = [replaced(t, f) if f else t for t, f in zip(texts, found)]

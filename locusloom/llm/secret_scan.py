@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_of
+from .common import slices, worker_of
 from .forest import Forest
 
 NAMES = rb"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?"
@@ -192,7 +192,7 @@ SCAN = "doc_id bigint, text string, n_candidates bigint, finds array<struct<kind
 def scan_batches(batches: Iterator[pa.RecordBatch], forest: Forest, least: float, mask: bytes) -> Iterator[pa.RecordBatch]:
     worker_of("secrets")
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         texts = batch.column(1).to_pylist()
         rows, values = [], []
         for k, t in enumerate(texts):
