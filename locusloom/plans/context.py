@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import buckets, bundles, pairing
+from ..operators import buckets, bundles, coverage, pairing
 from ..sources import fixtures
 from .tables import held, version_of
 
@@ -24,6 +24,10 @@ class Steps:
         """The records with their blocks, parsed once."""
         return held(bundles.parsed(self.source))
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        return held(coverage.segments(bundles.filled(self.reads).select("chrom", "nh", F.inline("blocks")), hold=held))
+
     @cached_property
     def pairs(self) -> DataFrame:
         found = pairing.mate_pairs(self.reads)

@@ -163,7 +163,7 @@ def ingest(
         "chroms": chroms,
         "bundles": steps.bundles,
         "subexons": steps.subexons,
-        "segments": coverage.segments(rows.select("chrom", "nh", F.inline("blocks")), hold=held),
+        "segments": steps.segments,
         "buckets": steps.buckets,
         "elements": steps.elements,
         "lengths": steps.lengths,

@@ -285,8 +285,7 @@ def duplicate_reads(s, d):
 
 
 def _segments(s, d):
-    rows = bundles.with_blocks(X.reads(s, d))
-    return coverage.segments(rows.select("chrom", "nh", F.inline("blocks")), hold=held)
+    return steps(s, d).segments
 
 
 @query
